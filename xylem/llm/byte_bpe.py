@@ -44,8 +44,8 @@ class ByteBpe:
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.longest = max(map(len, ranks))
         self.halves: dict[int, tuple[int, int]] = {}
-        self.compatible = Cache(self._compatible, 1_000_000)
-        self.packed = Cache(self._packed, 600_000)
+        self.compatible = Cache(self._compatible, 400_000)
+        self.packed = Cache(self._packed, 400_000)
 
     def half(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; None for a single byte."""
