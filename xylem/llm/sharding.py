@@ -7,7 +7,7 @@ dimension, until each leaf has the target bytes. The nodes of a level are split
 Quantiles are found by histograms: first of the dimension's 2**16 values, then, inside the bin that holds the cut,
 of the text's hash, then of the id's hash. What comes to the driver are one cut a node and the nodes' extents;
 histograms are at most 2**16 bins a node and stay distributed. Copies of a text lie together in every dimension
-and go to one shard, unless they are too many: a cut falls between texts if that is within `slack` of the target.
+and go to one shard, unless they weigh more than `whole` of a shard: only then a cut falls among them.
 
 Nulls and odd rows: a null text has no bytes, and every row weighs 8 more; a null language is one more language; a
 null id counts as one id; repeated rows are rows; an empty table gives an empty result; further columns are ignored.
@@ -29,7 +29,8 @@ WIDTHS = (16, 16, 16, 15)  # bits of the key's parts: dimension, text hash (two
 @dataclass(frozen=True)
 class ShardParams:
     shards: int = 24
-    slack: float = 0.02  # of a shard's target that a cut may be off to keep copies together
+    slack: float = 0.0025  # of a shard's target that a cut may be off
+    whole: float = 0.15  # of a shard's target up to which a text's copies are not split
     subs: int = 64  # parts of a shard that are numbered separately
 
 
@@ -88,7 +89,7 @@ def _split_level(meta: DataFrame, root: Node, target: float, p: ShardParams) ->
         low[node.first] = 0
     for n in [k for k in todo if k not in goal]:  # no rows at all
         todo[n].dim, todo[n].cut = DIMS[0], 1
-        todo.pop(n)
+        _part(todo.pop(n))
     pick = lambda value: _case({n: value(todo[n]) for n in todo})
     left, open_, shift = dict.fromkeys(todo, 0.0), set(todo), 63
     for width in WIDTHS:
@@ -108,8 +109,8 @@ def _split_level(meta: DataFrame, root: Node, target: float, p: ShardParams) ->
             before = left[n] + x["after"] - x["bytes"]
             over, under = left[n] + x["after"] - goal[n], goal[n] - before
             low[n] = x["bin"] << shift
-            near = p.slack * target * (1 if shift == WIDTHS[-1] else 0.125)  # whole copies are left or taken from here on
-            if min(over, under) <= near or shift == 0:
+            whole = shift == WIDTHS[-1] and x["bytes"] <= p.whole * target  # copies of one text
+            if whole or min(over, under) <= p.slack * target or shift == 0:
                 todo[n].cut = low[n] if under <= over else (x["bin"] + 1) << shift
                 open_.discard(n)
             left[n] = before
@@ -117,9 +118,6 @@ def _split_level(meta: DataFrame, root: Node, target: float, p: ShardParams) ->
         todo[n].cut = low[n]
     for node in todo.values():
         _part(node)
-    for node in _leaves(root):
-        if node.cut is not None and not node.children:
-            _part(node)
 
 
 def _case(values: dict) -> Column:
