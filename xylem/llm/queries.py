@@ -71,6 +71,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_ngram_join": r"""
+        WITH RECURSIVE w AS (
+          SELECT doc_id, coalesce(text, '') AS text, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+          FROM documents WHERE doc_id IS NOT NULL
+        ), s AS (
+          SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+                 ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g FROM w
+        ), n AS (SELECT doc_id, count(*) AS c FROM s GROUP BY 1
+        ), p AS (
+          SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2
+        ), l AS (
+          SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE k >= 0.8 * (x.c + y.c - k)
+        ), r(a, b) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b
+        ), t AS (SELECT text, count(*) AS copies FROM w GROUP BY 1)
+        SELECT w.doc_id, (SELECT min(b) FROM r WHERE r.a = w.doc_id) AS class_id, (SELECT count(*) FROM l WHERE l.a = w.doc_id) AS links, t.copies
+        FROM w JOIN t ON t.text = w.text
+    """,
     "op9_topk": """
         WITH v AS (
           SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
