@@ -73,16 +73,24 @@ def class_rates(labels: DataFrame, label: str, folds: int, held_out: int) -> tup
 
 
 class Cache(dict):
-    """A dict that makes missing values by a function and starts afresh when it holds `most` of them."""
+    """A dict that makes missing values by a function and holds at most `most` of them.
 
-    def __init__(self, make, most: int = 400_000):
+    When half of that is filled, the values become the old half; of the old half before, those that were not asked
+    for again are forgotten.
+    """
+
+    def __init__(self, make, most: int = 200_000):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key):
-        if len(self) >= self.most:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if 2 * len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        self[key] = value
         return value
 
 
