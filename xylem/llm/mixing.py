@@ -10,7 +10,7 @@ The cut is found by a histogram of ranks (2**16 bins a source) and a window over
 so that no task sees a whole source. Its result is one threshold per source; the last pass is a map.
 
 Nulls and odd rows: a null text has size 0; documents of size 0 are never taken; a null source is a source,
-last in order; a null id ranks by its text alone; equal rows share their rank and are taken or left together;
+last in order; a null id ranks as an empty one; equal rows share their rank and are taken or left together;
 an empty table gives an empty result. Columns of the input that aren't named here pass through `mix_documents`.
 """
 
@@ -66,8 +66,12 @@ def size_class(size: Column) -> Column:
 
 
 def _rank(p: MixParams, doc_id: Column, chance: Column) -> Column:
-    """The Pareto ranking variable; null where a document can't be in the sample."""
-    u = (F.shiftrightunsigned(F.xxhash64(doc_id, F.lit(p.seed)), 11) + 0.5) / float(1 << 53)
+    """The Pareto ranking variable; null where a document can't be in the sample.
+
+    u is made of the first 52 bits of a digest of id and seed, which other engines can compute alike.
+    """
+    digest = F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f":{p.seed}")).cast("binary"))
+    u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     return F.when(chance > 0, (u / (1 - u)) / (chance / F.greatest(1 - chance, F.lit(1e-12))))
 
 
