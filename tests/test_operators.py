@@ -187,6 +187,38 @@ def test_binding(spark):
     assert "violations" not in B.bind(df, "xml", RECORD, mode="off").columns
 
 
+def test_member_options(spark):
+    record = B.Record("p", (
+        B.Member("a", "int", nillable=True, default="7"), B.Member("b", ignored=True), B.Member("c", read=F.upper, write=F.lower),
+        B.Member("d", kind="dynamic"), B.Member("e", "int", nillable=True, required=True)))
+    xsi = 'xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance"'
+    df = docs(
+        spark, f'<p {xsi}><a xsi:nil="true"/><b>x</b><c>up</c><d><y k="1">t</y><z/><y>u</y></d><e xsi:nil="1"/></p>', "<p><a>5</a><e>6</e></p>", "<p><c>q</c></p>")
+    got = B.bind(df, "xml", record).cache()
+    rows = got.orderBy("doc_id").collect()
+    assert [r.record.a for r in rows] == [None, 5, 7] and [r.record.e for r in rows] == [None, 6, None]
+    assert rows[0].record.c == "UP" and "b" not in rows[0].record.asDict()
+    assert [[tuple(v) for v in r.violations] for r in rows] == [[], [], [("required", "e")]]
+    tree = B.subtree(got, "doc_id", "record.d").orderBy("pre").collect()
+    assert [(r.doc_id, r.local_name, r.text or "") for r in tree] == [("0", "d", ""), ("0", "y", "t"), ("0", "z", ""), ("0", "y", "u")]
+    assert B.subtree(got, "doc_id", "record.d", max_depth=0).count() == 1
+    again = B.bind(B.unbind(got.select("doc_id", "record"), "record", record), "xml", record).orderBy("doc_id").collect()
+    assert [(r.record.a, r.record.c, r.record.e) for r in again] == [(r.record.a, r.record.c, r.record.e) for r in rows]
+    assert [r.local_name for r in B.subtree(spark.createDataFrame(again[:1], "doc_id string, record struct<a:int,c:string,d:string,e:int>, xml string, violations array<struct<rule:string,member:string>>"), "doc_id", "record.d").orderBy("pre").collect()] == ["d", "y", "z", "y"]
+
+
+def test_records_of_nodes_with_other_prefixes(spark):
+    record = B.Record("p:r", (B.Member("p:v", "int", column="v"), B.Member("id", "int", "attribute")))
+    df = docs(spark, '<r xmlns="u" id="1"><v>1</v></r>', '<x:r xmlns:x="u" id="2"><x:v>2</x:v></x:r>', '<o:r xmlns:o="other" id="3"><o:v>3</o:v></o:r>')
+    nodes = B.with_prefixes(shred(df), {"u": "p"})
+    rows = B.bind_selection(select(nodes).where(F.col("name") == "p:r"), record).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.record.id, r.record.v, r.violations) for r in rows] == [("0", 1, 1, []), ("1", 2, 2, [])]
+    plain = B.Record("r", (B.Member("v", "int"), B.Member("id", "int", "attribute")))
+    typed = spark.createDataFrame([("k", (4, 9))], "key string, rec struct<v:int,id:int>")
+    tree = B.record_nodes(typed, "key", "rec", plain).orderBy("pre").collect()
+    assert [(r.doc_id, r.name, r.text or "", r.attrs) for r in tree] == [("k", "r", "", {"id": "9"}), ("k", "v", "4", {})]
+
+
 def test_union_and_property_types(spark):
     assert one(spark, B.union_value(F.lit("1.5"))).number == 1.5 and one(spark, B.union_value(F.lit("True"))).boolean is True
     assert one(spark, B.property_coerce(F.lit("x"), "number")) == 0.0 and one(spark, B.property_coerce(F.lit("1"), "boolean")) is True

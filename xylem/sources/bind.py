@@ -2,17 +2,27 @@
 
 A `Record` lists members; it gives a StructType for Spark's own `from_xml`, the expressions that finish the bound
 values, an array of violations, and the struct that `to_xml` writes. Everything is column expressions.
+
+Members are found by their written name. Where documents differ in prefixes, `with_prefixes` brings their node tables
+to one prefix for each namespace first.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.selection import Selection
+from .shred import shred
+
+XSI = "http://www.w3.org/2001/XMLSchema-instance"
+NIL = "@_xsi:nil"
+
 # Spark types of the schema language's built-in types.
 XSD_TYPES = {
     "string": "string", "normalizedString": "string", "token": "string", "language": "string", "Name": "string", "NCName": "string", "NMTOKEN": "string", "ID": "string",
@@ -45,11 +55,16 @@ class Facets:
 
 @dataclass(frozen=True)
 class Member:
-    """BI02-BI06: an element, attribute, text or list member of a record."""
+    """BI02-BI08, BI12: an element, attribute, text, list or dynamic member of a record.
+
+    An ignored member is neither read nor written (BI08). `read` and `write` are applied to the bound and to the
+    written value (BI12). A nillable element is null where it has xsi:nil, and is written so (BI21). A dynamic member
+    holds an element of any content as XML (BI07), which `subtree` turns into nodes.
+    """
 
     name: str
     type: str = "string"
-    kind: str = "element"  # element, attribute, text
+    kind: str = "element"  # element, attribute, text, dynamic
     column: str | None = None
     required: bool = False
     default: str | None = None
@@ -63,6 +78,10 @@ class Member:
     min_occurs: int = 0
     max_occurs: int | None = None
     facets: Facets = field(default_factory=Facets)
+    ignored: bool = False
+    nillable: bool = False
+    read: Callable[[Column], Column] | None = None
+    write: Callable[[Column], Column] | None = None
 
     @property
     def out(self) -> str:
@@ -81,11 +100,17 @@ class Record:
     members: tuple[Member, ...]
     choices_required: tuple[str, ...] = ()
 
+    @property
+    def used(self) -> list[Member]:
+        return [m for m in self.members if not m.ignored]
+
     def raw_schema(self) -> T.StructType:
         """Everything as text, as it is written."""
         fields = []
-        for m in self.members:
+        for m in self.used:
             kind: T.DataType = m.record.raw_schema() if m.record else T.StringType()
+            if m.nillable:
+                kind = T.StructType([T.StructField("#text", kind), T.StructField(NIL, T.StringType())])
             if m.repeated:
                 kind = T.ArrayType(kind)
                 if m.wrapper:
@@ -163,15 +188,22 @@ def each(items: Column, f, *args) -> Column:
 def _field(base: Column, m: Member) -> Column:
     if m.repeated and m.wrapper:
         return base[m.wrapper][m.name]
-    return base[m.tag]
+    return base[m.tag]["#text"] if m.nillable else base[m.tag]
+
+
+def _nil(base: Column, m: Member) -> Column:
+    """BI21: whether a nillable member has xsi:nil."""
+    return F.coalesce(base[m.tag][NIL].isin("true", "1"), F.lit(False)) if m.nillable else F.lit(False)
 
 
 def bound(base: Column, record: Record) -> Column:
     """BI13-BI19: a raw struct as the record's typed struct."""
     fields = []
-    for m in record.members:
+    for m in record.used:
         x = _field(base, m)
-        if m.record:
+        if m.kind == "dynamic":
+            value = F.when(x.isNotNull(), F.concat(F.lit(f"<{m.name}>"), x, F.lit(f"</{m.name}>")))
+        elif m.record:
             value = each(x, bound, m.record) if m.repeated else F.when(x.isNotNull(), bound(x, m.record))
         elif m.repeated:
             value = each(x, lambda i, m: coerce(white_space(i, m.facets.white_space), m.type), m)
@@ -184,6 +216,9 @@ def bound(base: Column, record: Record) -> Column:
                 back = [F.lit(v) for token, member in m.enum_map.items() for v in (token, member)]
                 text = F.coalesce(F.try_element_at(F.create_map(*back), text), text)
             value = list_value(text, m.type) if m.listed else coerce(text, m.type)
+            value = F.when(~_nil(base, m), value) if m.nillable else value
+        if m.read:
+            value = each(value, m.read) if m.repeated else m.read(value)
         fields.append(value.alias(m.out))
     return F.struct(*fields)
 
@@ -191,7 +226,7 @@ def bound(base: Column, record: Record) -> Column:
 def checked(base: Column, record: Record, strict_empty: bool = False) -> Column:
     """VA12-VA15, BI20: array<struct<rule, member>> of what a raw struct violates."""
     found = []
-    for m in record.members:
+    for m in record.used:
         x = _field(base, m)
         if m.repeated:
             n = F.when(x.isNull(), 0).otherwise(F.size(x))
@@ -200,14 +235,14 @@ def checked(base: Column, record: Record, strict_empty: bool = False) -> Column:
             found += [("maxOccurs", m, n > m.max_occurs)] if m.max_occurs is not None else []
             continue
         if m.required and m.default is None and m.fixed is None:
-            found.append(("required", m, x.isNull() | ((x == "") if strict_empty and not m.record else F.lit(False))))
-        if not m.record:
+            found.append(("required", m, ~_nil(base, m) & (x.isNull() | ((x == "") if strict_empty and not m.record else F.lit(False)))))
+        if not m.record and m.kind != "dynamic":
             text = white_space(x, m.facets.white_space)
             found += [(rule, m, F.coalesce(bad, F.lit(False)) & x.isNotNull()) for rule, bad in violations(text, m)]
             if XSD_TYPES.get(m.type, m.type) != "string" and not m.listed:
                 found.append(("dataType", m, x.isNotNull() & coerce(text, m.type).isNull()))
     groups: dict[str, list[Member]] = {}
-    for m in record.members:
+    for m in record.used:
         if m.choice:
             groups.setdefault(m.choice, []).append(m)
     entry = lambda rule, name, bad: F.when(bad, F.struct(F.lit(rule).alias("rule"), F.lit(name).alias("member")))
@@ -240,10 +275,16 @@ def bind(df: DataFrame, xml: str, record: Record, mode: str = "warn", strict_emp
 
 
 def written(base: Column, record: Record) -> Column:
-    """BI26, BI27: a typed struct as the struct that `to_xml` writes."""
+    """BI26, BI27: a typed struct as the struct that `to_xml` writes. Dynamic members are put in by `unbind`."""
     fields = []
-    for m in record.members:
+    if any(m.nillable for m in record.used):
+        fields.append(F.lit(XSI).alias("@_xmlns:xsi"))
+    for m in record.used:
+        if m.kind == "dynamic":
+            continue
         x = base[m.out]
+        if m.write:
+            x = each(x, m.write) if m.repeated else m.write(x)
         if m.record:
             value = each(x, written, m.record) if m.repeated else F.when(x.isNotNull(), written(x, m.record))
         elif m.listed:
@@ -255,15 +296,22 @@ def written(base: Column, record: Record) -> Column:
                 value = F.coalesce(F.try_element_at(F.create_map(*there), value), value)
         if m.repeated and m.wrapper:
             fields.append(F.struct(value.alias(m.name)).alias(m.wrapper))
+        elif m.nillable:
+            fields.append(F.struct(value.alias("#text"), F.when(x.isNull(), "true").alias(NIL)).alias(m.tag))
         else:
             fields.append(value.alias(m.tag))
     return F.struct(*fields)
 
 
 def unbind(df: DataFrame, column: str, record: Record, xml: str = "xml", prolog: str = "") -> DataFrame:
-    """IO16, IO17: adds the XML of a typed struct, after a prolog."""
-    options = {"attributePrefix": "@_", "valueTag": "#text", "rowTag": record.name, "indent": ""}
+    """IO16, IO17: adds the XML of a typed struct, after a prolog. Dynamic members come last, as they are."""
+    options = {"attributePrefix": "@_", "valueTag": "#text", "rowTag": record.name, "indent": "", "validateName": "false"}
     body = F.to_xml(written(F.col(column), record), options)
+    dynamic = [F.coalesce(F.col(column)[m.out], F.lit("")) for m in record.used if m.kind == "dynamic"]
+    if dynamic:
+        end, body = f"</{record.name}>", F.regexp_replace(body, r"\s+\z", "")
+        body = F.when(body.endswith(end), F.concat(F.left(body, F.char_length(body) - len(end)), *dynamic, F.lit(end))).otherwise(
+            F.concat(F.regexp_replace(body, r"/>\z", ">"), *dynamic, F.lit(end)))
     return df.withColumn(xml, F.concat(F.lit(prolog), body))
 
 
@@ -276,3 +324,32 @@ def prolog(version: str = "1.0", encoding: str = "UTF-8", standalone: bool | Non
         where = f' PUBLIC "{public}" "{system or ""}"' if public else f' SYSTEM "{system}"' if system else ""
         lines.append(f"<!DOCTYPE {name}{where}>")
     return "\n".join(lines) + "\n"
+
+
+def subtree(df: DataFrame, key: str, xml: str, **options) -> DataFrame:
+    """BI07, BI25: the node table of a dynamic member, in document order; rows without it have no nodes.
+
+    options: those of `shred`, such as max_depth.
+    """
+    return shred(df.select(F.col(key).alias("doc_id"), F.col(xml).alias("xml")).where(F.col("xml").isNotNull()), **options)
+
+
+def with_prefixes(nodes: DataFrame, prefixes: dict[str, str]) -> DataFrame:
+    """BI24: names of elements get the prefix given for their namespace (empty: none), so that records find them
+    by namespace and local name. Other names stay."""
+    prefix = F.col("prefix")
+    for uri, own in prefixes.items():
+        prefix = F.when(F.col("ns_uri") == uri, F.lit(own or None)).otherwise(prefix)
+    out = nodes.withColumn("prefix", prefix)
+    return out.withColumn("name", F.when(F.col("prefix").isNull(), F.col("local_name")).otherwise(F.concat("prefix", F.lit(":"), "local_name")))
+
+
+def bind_selection(selection: Selection, record: Record, mode: str = "warn") -> DataFrame:
+    """MU21: doc_id, at and the typed record of each selected node's subtree."""
+    out = bind(selection.to_xml_strings(), "xml", record, mode)
+    return out.drop("xml")
+
+
+def record_nodes(df: DataFrame, key: str, column: str, record: Record, **options) -> DataFrame:
+    """MU22: the node table of typed structs."""
+    return shred(unbind(df.select(F.col(key).alias("doc_id"), column), column, record), **options)
