@@ -11,7 +11,7 @@ NUMBER_PREFIX = r"^[\s]*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
 
 
 def parse_float(x: Column) -> Column:
-    """The longest numeric prefix as a double, else null: '12abc' is 12, '007' is 7."""
+    """XP37: the longest numeric prefix as a double, else null: '12abc' is 12, '007' is 7."""
     return F.regexp_extract(x, NUMBER_PREFIX, 1).try_cast("double")
 
 
@@ -27,12 +27,13 @@ def number_text(x: Column) -> Column:
 
 
 def typed_number(text: Column) -> Column:
-    """A text's number if it is written as one: no exponent, no plus sign, no leading zero before digits."""
+    """IO02, IO10: a text's number if it is written as one: no exponent, no plus sign, no leading zero before digits."""
     fits = text.rlike(r"\A-?\d+(\.\d+)?\z") & ~text.rlike(r"\A0\d")
     return F.when(fits, text.try_cast("double"))
 
 
 def typed_boolean(text: Column) -> Column:
+    """IO02: true or false, in any case."""
     return F.when(F.lower(text).isin("true", "false"), F.lower(text) == "true")
 
 
@@ -58,19 +59,21 @@ def text_or_empty(x: Column) -> Column:
     return F.coalesce(x, F.lit(""))
 
 
-# Scalar functions of path expressions -----------------------------------------------------------------------------
+# Scalar functions of path expressions. Columns themselves are XP20 and XP23 (&, |, ~), XP40 (text, name, local_name), XP41
+# to XP43 (contains, startswith, endswith), XP45 (F.lit) and the rest of XP38 (F.floor, F.ceil) -----------------------------------------------------------------------------
 
 def string_length(x: Column) -> Column:
-    """Length in UTF-16 units."""
+    """XP30: length in UTF-16 units."""
     return (F.octet_length(F.encode(text_or_empty(x), "UTF-16LE")) / 2).cast("int")
 
 
 def normalize_space(x: Column) -> Column:
+    """XP31."""
     return trim_all(F.regexp_replace(text_or_empty(x), r"(?U)\s+", " "))
 
 
 def substring(x: Column, start, length=None) -> Column:
-    """Characters from a 1-based start. A start below 1 counts from 1 but the end stays start + length; a negative
+    """XP32: characters from a 1-based start. A start below 1 counts from 1 but the end stays start + length; a negative
     length swaps the ends."""
     x, start = text_or_empty(x), F.lit(start).cast("int")
     first = F.greatest(start - 1, F.lit(0))
@@ -80,47 +83,52 @@ def substring(x: Column, start, length=None) -> Column:
 
 
 def concat(*xs: Column) -> Column:
+    """XP33: null counts as empty."""
     return F.concat(*[text_or_empty(x) for x in xs])
 
 
 def translate_in_turn(x: Column, source: str, target: str) -> Column:
-    """One character after another: a result of an earlier replacement can be replaced again."""
+    """XP34: one character after another: a result of an earlier replacement can be replaced again."""
     for i, c in enumerate(source):
         x = F.replace(x, F.lit(c), F.lit(target[i] if i < len(target) else ""))
     return x
 
 
 def substring_before(x: Column, mark: str) -> Column:
+    """XP35: empty where the mark is absent."""
     at = F.instr(text_or_empty(x), mark)
     return F.when(at > 0, F.substr(x, F.lit(1), at - 1)).otherwise("")
 
 
 def substring_after(x: Column, mark: str) -> Column:
+    """XP36: empty where the mark is absent."""
     at = F.instr(text_or_empty(x), mark)
     return F.when(at > 0, F.substr(x, at + len(mark))).otherwise("")
 
 
 def number(x: Column) -> Column:
+    """XP37: NaN for what begins with no number."""
     return F.coalesce(parse_float(x), F.lit(float("nan")))
 
 
 def round_half_up(x: Column) -> Column:
-    """Halves go towards plus infinity."""
+    """XP38: halves go towards plus infinity."""
     return F.floor(x + 0.5).cast("double")
 
 
 def divide(a: Column, b: Column) -> Column:
-    """Division by zero gives an infinity, or NaN for zero by zero."""
+    """XP27: division by zero gives an infinity, or NaN for zero by zero."""
     zero = F.when((a == 0) | F.isnan(a), float("nan")).when(a > 0, float("inf")).otherwise(float("-inf"))
     return F.when(b == 0, zero).otherwise(F.try_divide(a, b))
 
 
 def modulo(a: Column, b: Column) -> Column:
+    """XP27: the sign is that of the dividend; NaN for a divisor of zero."""
     return F.when(b == 0, float("nan")).otherwise(F.try_mod(a, b))
 
 
 def compare(left: Column, op: str, right: Column) -> Column:
-    """= and != compare texts; order compares numbers if both sides begin with one, else texts."""
+    """XP24: = and != compare texts; order compares numbers if both sides begin with one, else texts."""
     left, right = text_or_empty(left.cast("string")), text_or_empty(right.cast("string"))
     if op in ("=", "!="):
         return left == right if op == "=" else left != right
@@ -130,10 +138,12 @@ def compare(left: Column, op: str, right: Column) -> Column:
 
 
 def truth(x: Column) -> Column:
+    """XP45: whether a text is neither empty nor NaN."""
     return (text_or_empty(x) != "") & (x != "NaN")
 
 
 def lang_is(lang: Column, code: str) -> Column:
+    """XP44: whether an inherited language is this code or one of its variants."""
     low = F.lower(lang)
     return F.coalesce((low == code.lower()) | low.startswith(code.lower() + "-"), F.lit(False))
 
@@ -150,16 +160,20 @@ TEXT_ESCAPES = [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), (
 
 
 def escape_text(x: Column) -> Column:
+    """IO13: for text."""
     return _in_turn(text_or_empty(x.cast("string")), TEXT_ESCAPES)
 
 
 def escape_attribute(x: Column) -> Column:
+    """IO13: for attribute values."""
     return _in_turn(escape_text(x), [("\t", "&#9;"), ("\n", "&#10;"), ("\r", "&#13;")])
 
 
 def escape_cdata(x: Column) -> Column:
+    """IO13: for CDATA sections."""
     return _in_turn(text_or_empty(x), [("]]>", "]]]]><![CDATA[>")])
 
 
 def escape_comment(x: Column) -> Column:
+    """IO13: for comments."""
     return _in_turn(text_or_empty(x), [("--", "- -")])

@@ -22,7 +22,7 @@ def _attr_text(skip_xmlns: bool = False) -> Column:
 
 
 def serialise(rows: DataFrame, keys: list[str], declaration: bool = False, self_closing: bool = True) -> DataFrame:
-    """SK: XML of the node rows of each key, from start and end tags in interval order, in one shuffle.
+    """IO12, IO14: XML of the node rows of each key, from start and end tags in interval order, in one shuffle.
 
     A node's text comes before its children.
     """

@@ -3,7 +3,8 @@
 A selection's rows are node rows with `at`, an array of longs that orders the rows of a document. Axes are joins on
 doc_id with a condition on pre-order intervals; filters are filters; positions are windows over a document.
 Where a method removes repeats, the first in order stays. Names of methods and their semantics follow the survey's
-operator ids, which the docstrings give.
+operator ids, which the docstrings give. Lazy DataFrames need no copies (MU19), and a query can begin at any
+selection (MU20).
 """
 
 from __future__ import annotations

@@ -2,6 +2,9 @@
 
 Each document is parsed by itself, in one linear pass, on the executor that holds it. A node is a row in pre-order
 interval encoding: the subtree of a node is pre..end_pre of its document, so that every axis is a join condition.
+
+The parser resolves entities (IO06, IO09) and skips prologs (IO08). Rows carry namespaces in scope (IO03), runs of mixed
+text, CDATA and comments (IO04), and places among siblings (IO05). Scalars are typed by one rule (IO02, IO10).
 """
 
 from __future__ import annotations
@@ -167,6 +170,6 @@ def read_records(spark: SparkSession, path: str, row_tag: str, schema=None, **op
 
 
 def write_records(df: DataFrame, path: str, row_tag: str, root_tag: str = "rows", declaration: str | None = None) -> None:
-    """IO11: typed rows as XML files."""
+    """IO11, IO19: typed rows as XML files."""
     writer = df.write.format("xml").option("rowTag", row_tag).option("rootTag", root_tag).option("attributePrefix", "@_").option("valueTag", "#text")
     (writer.option("declaration", declaration) if declaration is not None else writer).save(path)
