@@ -144,6 +144,27 @@ def test_label_model_estimates_accuracy_and_correlation():
     assert ((model.posterior(votes) > 0.5) == y).mean() > 0.97
 
 
+def test_pattern_voters_reach_the_classifier(spark):
+    """The three pattern voters fire in the rows trained on, their weights are learnt, and unlabelled rows are among them."""
+    text = lambda i: ["go away now please ", "what a f**k of a day ", "they are such an idiot today ", "a quiet and pleasant day "][i % 4] + f"number{i}"
+    docs = spark.createDataFrame([(i, text(i)) for i in range(400)] + [(i, text(2)) for i in range(400, 600)], "doc_id long, text string")
+    given = spark.createDataFrame([(i, int(i % 4 < 3)) for i in range(200)], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(docs, given)
+    assert all(model.weights.get((1 << model.bits) + k, 0) > 0 for k in range(3))
+    voter = toxicity.Voters((frozenset(),) * 3, model.bits)
+    got = toxicity._gather(docs.select("text", F.lit(0).alias("label")), model.bits, voter)
+    lower = [r.text for r in docs.collect()]
+    assert sorted(got.pattern) == sorted(voter.pattern(t, set(toxicity.WORD.findall(t))) for t in lower) and all((got.pattern.to_numpy() >> k & 1).any() for k in (5, 6, 7))
+    extra = toxicity.unlabelled_sample(docs, given, "toxic", 6000, 600).toPandas()
+    want = {text(i) for i in range(200, 400) if crc32(str(i).encode()) % 4 != 2} | {text(2)}
+    assert set(extra.text) == want and len(extra) == len(want) and set(extra.label) == {-1}  # 200 copies are one row
+
+
+def test_votes_can_outvote_a_label():
+    got = toxicity.with_label(np.array([0.0001, 0.2, 0.9999, 0.2]), np.array([1, 1, 0, -1]), 0.99)
+    assert got[0] < 0.5 < got[1] and got[2] > 0.5 and abs(got[3] - 0.2) < 1e-9
+
+
 def test_folds_follow_the_contract(spark):
     for df, of, out in ((queries.op2_toxicity(spark, DATA), 4, 2), (queries.op8_quality(spark, DATA), 5, 0)):
         assert all(r.held_out == (crc32(str(r.doc_id).encode()) % of == out) and r.predicted == int(r.score >= 0.3) and 0 <= r.score <= 1 for r in df.collect())

@@ -4,11 +4,16 @@ Many voters (word lists, patterns, word stems mined from the training labels) ea
 A generative label model with a latent class, a base rate and, for each voter, its firing rate given the class
 and given the one voter it depends on most, is fitted by EM to the counts of vote patterns of all documents. It
 yields the voters' accuracies and their correlations, and a posterior label for every pattern. A linear
-classifier over hashed words and word stems is trained on the posterior labels of a bounded sample and put on the
-scale of the given labels; it scores every whole text.
+classifier over hashed words, word stems and the pattern voters' firing is trained on the posterior labels of a
+bounded sample of labelled and unlabelled rows and put on the scale of the given labels; it scores every whole text.
+
+A given label is used to mine stems, as the known class of its row in EM, for the final scale, and in its row's target
+as one more voter of accuracy `label_accuracy`, which a posterior surer than that outvotes. An unlabelled row's target
+is the posterior of its votes alone.
 
 Bounds: `voters()` are 12, so that at most 2**12 patterns come to the driver. The labelled sample holds at most
-`per_class` rows of either class, outside the held-out fold.
+`per_class` rows of either class, the unlabelled one about `unlabelled` distinct texts (those of least hash), both
+outside the held-out fold.
 
 Nulls and odd rows: a null text counts as empty; an empty text fires no voter and scores the bias; long texts
 are scored whole; equal texts score alike; a null id is in fold crc32('') of the labels; an empty table or an
@@ -43,18 +48,24 @@ LISTS = {name: frozenset(words.split()) for name, words in LEXICONS.items()}
 LIST_OF = {word: name for name, words in LISTS.items() for word in words}
 INSULTING = frozenset().union(*(LISTS[k] for k in ("insults", "contempt", "dehumanising")))
 ADDRESS = re.compile(r"\b(?:you|they|he|she|these|those)\b[^.\n]{0,24}?\b(?:" + "|".join(sorted(INSULTING)) + r")\b")
-COMMAND = re.compile(r"\b(?:shut up|go away|get lost|drop dead|go to hell|nobody likes you|kill yourself)\b")
+COMMANDS = ("shut up", "go away", "get lost", "drop dead", "go to hell", "nobody likes you", "kill yourself")
+COMMAND = re.compile(r"\b(?:" + "|".join(COMMANDS) + r")\b")
 CENSORED = re.compile(r"\b[a-z]{1,3}[*@#]{2,}[a-z]{1,3}\b")
+SIGNS = [a + b for a in "*@#" for b in "*@#"]
+PATTERNS = ("address", "command", "censored")  # voters 5 to 7
 MINED = ("words", "stems4", "stems5")
 
 
 def voters() -> list[str]:
-    return [*LISTS, "address", "command", "censored", *[f"mined_{m}" for m in MINED], "several"]
+    return [*LISTS, *PATTERNS, *[f"mined_{m}" for m in MINED], "several"]
 
 
 @dataclass(frozen=True)
 class ToxicParams:
     per_class: int = 3000
+    unlabelled: int = 6000
+    unlabelled_weight: float = 0.1
+    label_accuracy: float = 0.99
     bits: int = 20
     features: int = 6000
     mined_rate: float = 0.7
@@ -141,6 +152,18 @@ def token_features(token: str, bits: int) -> tuple[int, ...]:
     )
 
 
+def fired_patterns(lower: str, tokens: set) -> list[int]:
+    """Places in PATTERNS of those found in a text; none is searched for where its word, phrase or signs are not in the text."""
+    out = []
+    if not INSULTING.isdisjoint(tokens) and ADDRESS.search(lower):
+        out.append(0)
+    if any(x in lower for x in COMMANDS) and COMMAND.search(lower):
+        out.append(1)
+    if any(x in lower for x in SIGNS) and CENSORED.search(lower):
+        out.append(2)
+    return out
+
+
 @dataclass
 class Voters:
     """Votes of a text; mined: sets of hashed ids, by kind."""
@@ -168,12 +191,8 @@ class Voters:
             if hit := self.cache[token]:
                 out |= hit
                 bad += 1
-        if out & 7 and ADDRESS.search(lower):
-            out |= 1 << 5
-        if COMMAND.search(lower):
-            out |= 1 << 6
-        if CENSORED.search(lower):
-            out |= 1 << 7
+        for k in fired_patterns(lower, tokens):
+            out |= 1 << (5 + k)
         return out | (bad >= 2) << 11
 
 
@@ -181,16 +200,47 @@ def bits_of(patterns: np.ndarray) -> np.ndarray:
     return (np.asarray(patterns, dtype=np.int64)[:, None] >> np.arange(len(voters()))) & 1
 
 
-def _gather(sample: DataFrame, bits: int) -> pd.DataFrame:
-    """Label and hashed features of each sampled row."""
+def _gather(sample: DataFrame, bits: int, voter: Voters | None = None) -> pd.DataFrame:
+    """Label, hashed features and, with voters, vote pattern of each sampled row."""
     def features(batches):
         for pdf in batches:
-            ids = []
+            ids, votes = [], []
             for text in pdf["text"]:
-                tokens = set(WORD.findall((text or "").lower()))
+                lower = (text or "").lower()
+                tokens = set(WORD.findall(lower))
                 ids.append(np.array([x for t in tokens for x in token_features(t, bits)], dtype=np.int32).tobytes())
-            yield pd.DataFrame({"label": pdf["label"], "ids": ids})
-    return sample.mapInPandas(features, "label int, ids binary").toPandas()
+                votes.append(voter.pattern(lower, tokens) if voter else 0)
+            yield pd.DataFrame({"label": pdf["label"], "ids": ids, "pattern": votes})
+    return sample.mapInPandas(features, "label int, ids binary, pattern int").toPandas()
+
+
+def unlabelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, total: int) -> DataFrame:
+    """(text, label): about `rows` distinct texts of `total` documents without a label, outside the held-out fold; label is -1.
+
+    Texts of least hash are taken, so that each has the same chance and copies, however many, are one row.
+    """
+    known = labels.where(F.col(label).isin(0, 1)).select("doc_id")
+    share = min(1.0, rows / max(1, total) * FOLDS / (FOLDS - 1))
+    text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("order", F.xxhash64("text"))
+    text = text.where((fold(F.col("doc_id"), FOLDS) != HELD_OUT) & (F.pmod("order", F.lit(1_000_000_007)) < int(share * 1_000_000_007)))
+    return text.join(known, "doc_id", "left_anti").groupBy("order").agg(F.min("text").alias("text")).select("text", F.lit(-1).alias("label"))
+
+
+def training_rows(got: pd.DataFrame, bits: int) -> list[np.ndarray]:
+    """Feature ids of each row: its hashed words and stems, and beyond them those of the pattern voters that fired."""
+    out = []
+    for ids, pattern in zip(got["ids"], got["pattern"], strict=True):
+        r = np.frombuffer(ids, dtype=np.int32)
+        fired = [(1 << bits) + k for k in range(len(PATTERNS)) if pattern >> (5 + k) & 1]
+        out.append(np.concatenate([r[r >= 0], np.array(fired, dtype=np.int32)]))
+    return out
+
+
+def with_label(posterior: np.ndarray, label: np.ndarray, accuracy: float) -> np.ndarray:
+    """The posterior with the row's own label as one more voter; label: 0 or 1, or -1 for none."""
+    vote = np.where(label < 0, 0.0, np.where(label == 1, 1.0, -1.0)) * np.log(accuracy / (1 - accuracy))
+    sure = np.clip(posterior, 1e-6, 1 - 1e-6)
+    return 1 / (1 + np.exp(np.log((1 - sure) / sure) - vote))
 
 
 def _mine(rows: list[np.ndarray], y: np.ndarray, p: ToxicParams) -> tuple[frozenset, ...]:
@@ -251,9 +301,12 @@ class ToxicModel:
     def scorer(self):
         weights, bias, slope, shift, bits = self.weights, self.bias, self.slope, self.shift, self.bits
         cache = Cache(lambda token: sum(weights.get(x, 0.0) for x in token_features(token, bits)))
+        patterns = [weights.get((1 << bits) + k, 0.0) for k in range(len(PATTERNS))]
 
         def score(text: str | None) -> float:
-            z = sum(map(cache.__getitem__, sorted(set(WORD.findall((text or "").lower()))))) + bias
+            lower = (text or "").lower()
+            tokens = set(WORD.findall(lower))
+            z = sum(map(cache.__getitem__, sorted(tokens))) + sum(patterns[k] for k in fired_patterns(lower, tokens)) + bias
             return float(1 / (1 + np.exp(-max(-40.0, min(40.0, slope * z + shift)))))
         return score
 
@@ -285,62 +338,42 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, params: ToxicParams | None
         lower = [(t or "").lower() for t in texts]
         return pd.Series([voter.pattern(t, set(WORD.findall(t))) for t in lower], dtype="int64")
 
-    train = labels.where(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
     counts = docs.select(pattern("text").alias("pattern")).groupBy("pattern").count().toPandas()
-    sample = labelled_sample(docs, train, "toxic", FOLDS, HELD_OUT, p.per_class)
-    seen = sample.select(pattern("text").alias("pattern"), "label").groupBy("pattern", "label").count().toPandas()
-    votes = bits_of(np.concatenate([counts["pattern"], seen["pattern"]]))
-    known = np.concatenate([np.full(len(counts), -1), seen["label"]])
-    balance = np.where(seen["label"] == 1, min(1.0, p.per_class / max(1, n1)) ** -1, min(1.0, p.per_class / max(1, n0)) ** -1)
-    model = fit_label_model(votes, np.concatenate([counts["count"], seen["count"] * balance]).astype(float), known)
-
-    fired = np.array([_pattern_of(r, voter) for r in rows])
-    soft = model.posterior(bits_of(fired))
-    soft = np.clip(0.5 * soft + 0.5 * y, 0.0, 1.0)  # the row's own label counts as one more voter
-    class_weight = np.where(y == 1, n1 / max(1, (y == 1).sum()), n0 / max(1, (y == 0).sum()))
-    unique = [np.unique(r[r >= 0]) for r in rows]
+    labelled = labelled_sample(docs, labels, "toxic", FOLDS, HELD_OUT, p.per_class).select("text", "label")
+    got = _gather(labelled.unionAll(unlabelled_sample(docs, labels, "toxic", p.unlabelled, int(counts["count"].sum()))), p.bits, voter)
+    rows, own, y = training_rows(got, p.bits), got["pattern"].to_numpy(), got["label"].to_numpy()
+    given = y >= 0
+    balance = np.where(y[given] == 1, min(1.0, p.per_class / max(1, n1)) ** -1, min(1.0, p.per_class / max(1, n0)) ** -1)
+    votes = bits_of(np.concatenate([counts["pattern"], own[given]]))
+    known = np.concatenate([np.full(len(counts), -1), y[given]])
+    model = fit_label_model(votes, np.concatenate([counts["count"], balance]).astype(float), known)
+
+    soft = with_label(model.posterior(bits_of(own)), y, p.label_accuracy)
+    row_weight = np.where(given, 1.0, p.unlabelled_weight)
+    class_weight = np.where(y == 1, n1 / max(1, (y == 1).sum()), n0 / max(1, (y == 0).sum()))[given]
+    unique, size = [np.unique(r) for r in rows], (1 << p.bits) + len(PATTERNS)
     flat = np.concatenate(unique)
     owner = np.repeat(np.arange(len(unique)), [len(u) for u in unique])
-    pos = np.bincount(flat, weights=soft[owner], minlength=1 << p.bits)
-    neg = np.bincount(flat, weights=1 - soft[owner], minlength=1 << p.bits)
-    odds = np.log((pos + 0.5) / (soft.sum() + 1)) - np.log((neg + 0.5) / ((1 - soft).sum() + 1))
+    pos = np.bincount(flat, weights=(row_weight * soft)[owner], minlength=size)
+    neg = np.bincount(flat, weights=(row_weight * (1 - soft))[owner], minlength=size)
+    odds = np.log((pos + 0.5) / (row_weight @ soft + 1)) - np.log((neg + 0.5) / (row_weight @ (1 - soft) + 1))
     odds = np.maximum(odds, 0)  # signs of toxicity only
     strength = np.where(pos + neg >= p.mined_docs, odds * np.sqrt(np.minimum(pos + neg, np.maximum(pos, neg))), 0)
     chosen = np.argsort(-strength, kind="stable")[: min(p.features, 4 * len(y))]
     chosen = np.sort(chosen[strength[chosen] > 0])
-    place = np.full(1 << p.bits, -1)
+    place = np.full(size, -1)
     place[chosen] = np.arange(len(chosen))
     kept = [place[u][place[u] >= 0] for u in unique]
     start = np.cumsum([0, *[len(k) for k in kept[:-1]]])
     index = np.concatenate(kept)
-    w, bias = fit_linear(index, start, soft, np.ones(len(y)), len(chosen), p.l2 / 10 + 0.3 / len(y), p.steps)
+    w, bias = fit_linear(index, start, soft, row_weight, len(chosen), p.l2 / 10 + 0.3 / len(y), p.steps)
     weights = {int(i): float(v) for i, v in zip(chosen, w, strict=True) if abs(v) > 1e-4}
     out = ToxicModel(weights, bias, 1.0, 0.0, p.bits, model)
-    z = np.array([sum(weights.get(int(x), 0.0) for x in r[r >= 0]) for r in rows]) + bias
-    out.slope, out.shift = platt(z, y.astype(float), class_weight)
+    z = np.array([sum(weights.get(int(x), 0.0) for x in r) for r, g in zip(rows, given, strict=True) if g]) + bias
+    out.slope, out.shift = platt(z, y[given].astype(float), class_weight)
     return out
 
 
-def _pattern_of(row: np.ndarray, voter: Voters) -> int:
-    """Votes of a sampled row from its hashed words; list voters by the hashes of their words."""
-    out, bad = 0, 0
-    lists = _hashed_lists(voter.bits)
-    for a, b, c, _ in row.tolist():
-        hit = lists.get(a, 0) | sum(1 << (8 + k) for k, x in enumerate((a, b, c)) if x in voter.mined[k])
-        out, bad = out | hit, bad + (hit > 0)
-    return out | (bad >= 2) << 11
-
-
-def _hashed_lists(bits: int, cache: dict = {}) -> dict[int, int]:  # noqa: B006
-    if bits not in cache:
-        cache[bits] = {}
-        for i, words in enumerate(LISTS.values()):
-            for word in words:
-                x = token_features(word, bits)[0]
-                cache[bits][x] = cache[bits].get(x, 0) | 1 << i
-    return cache[bits]
-
-
 def score_toxicity(docs: DataFrame, labels: DataFrame, params: ToxicParams | None = None) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     p = params or ToxicParams()
