@@ -330,6 +330,16 @@ def test_matched_prefix_follows_recall():
     assert ngram_join.JoinParams(threshold=0.6).matched < p.matched
 
 
+def test_no_isolated_pair_at_the_threshold_is_lost(spark):
+    """4,000 pairs at Jaccard 0.8, 16 of 20 shingles in common, with no other text near them."""
+    rows = []
+    for k in range(4000):
+        w = [f"p{k}w{i}" for i in range(22)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join([*w[:20], f"x{k}", f"y{k}"]))]
+    out = ngram_join.join_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == 8000 and all((r.class_id, r.links) == (r.doc_id // 2 * 2, 1) for r in out)
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7)], "a long, b long")
     got = {r.id: r.comp for r in components(edges).collect()}
