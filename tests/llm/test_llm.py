@@ -137,32 +137,69 @@ def test_label_model_estimates_accuracy_and_correlation():
         votes[:, i] = np.where(y, rng.random(n) < 0.6 + 0.05 * i, rng.random(n) < 0.03)
     votes[:, 6] = np.where(rng.random(n) < 0.95, votes[:, 0], 1 - votes[:, 0])  # a copy of the first
     pat, counts = np.unique(votes, axis=0, return_counts=True)
-    model = toxicity.fit_label_model(pat, counts.astype(float), np.full(len(pat), -1))
+    model = toxicity.fit_label_model(pat, counts.astype(float))
     assert abs(model.base - 0.2) < 0.03
     assert abs(model.accuracy[toxicity.voters()[5]][1] - 0.85) < 0.05
     assert model.parent[6] == 0 or model.parent[0] == 6 or model.correlation[0, 6] > 0.5
     assert ((model.posterior(votes) > 0.5) == y).mean() > 0.97
 
 
-def test_pattern_voters_reach_the_classifier(spark):
-    """The three pattern voters fire in the rows trained on, their weights are learnt, and unlabelled rows are among them."""
+def test_pattern_em_equals_em_over_all_rows():
+    """A brute-force EM with one row for each document, written out for the fitted tree, has the same posteriors."""
+    rng = np.random.default_rng(4)
+    y = rng.random(3000) < 0.15
+    votes = np.zeros((3000, len(toxicity.voters())), dtype=np.int64)
+    for i in range(5):
+        votes[:, i] = np.where(y, rng.random(3000) < 0.7, rng.random(3000) < 0.04)
+    pat, counts = np.unique(votes, axis=0, return_counts=True)
+    model = toxicity.fit_label_model(pat, counts.astype(float))
+    post = np.where(votes.sum(1) >= 4, 0.95, np.where(votes.sum(1) >= 2, 0.3, 0.005))
+    for _ in range(60):
+        parent, _corr = toxicity._tree(votes, np.stack([1 - post, post], 1))
+        odds = np.log((post.sum() + 0.5) / (len(post) + 1)) - np.log(1 - (post.sum() + 0.5) / (len(post) + 1))
+        total = np.full(len(post), odds)
+        for i, up in enumerate(parent):
+            for row_class, w in ((1, post), (0, 1 - post)):
+                for given in (0, 1):
+                    at = (votes[:, up] == given) if up >= 0 else np.ones(len(post), bool)
+                    rate = np.clip((w[at] @ votes[at, i] + 0.5 * (0.3 if row_class else 0.01)) / (w[at].sum() + 0.5), 1e-5, 1 - 1e-5)
+                    part = np.where(votes[:, i] == 1, np.log(rate), np.log1p(-rate)) * (1 if row_class else -1)
+                    total += np.where(at, part, 0) if up >= 0 or given == 0 else 0
+        fresh = 1 / (1 + np.exp(-np.clip(total, -50, 50)))
+        if np.abs(fresh - post).max() < 1e-6:
+            break
+        post = fresh
+    assert np.abs(model.posterior(votes) - fresh).max() < 1e-4
+
+
+def test_votes_of_training_rows_are_those_of_the_corpus_pass(spark):
+    """The same patterns, address, command and censored ones among them; the sample has each unlabelled text once."""
     text = lambda i: ["go away now please ", "what a f**k of a day ", "they are such an idiot today ", "a quiet and pleasant day "][i % 4] + f"number{i}"
-    docs = spark.createDataFrame([(i, text(i)) for i in range(400)] + [(i, text(2)) for i in range(400, 600)], "doc_id long, text string")
+    docs = spark.createDataFrame([(i, text(i)) for i in range(400)] + [(i, text(2)) for i in range(400, 600)] + [(600, None)], "doc_id long, text string")
     given = spark.createDataFrame([(i, int(i % 4 < 3)) for i in range(200)], "doc_id long, toxic int")
+    p = toxicity.ToxicParams()
+    sample = toxicity.featured(docs.select("text", F.lit(1).alias("label")), p.bits)
+    grade = {toxicity.token_features(w, p.bits)[0]: g for w, g in (("please", 0), ("day", 1), ("number12", 2))}
+    voter = toxicity.Voters(grade, (0.01, 0.01, 0.02), p.bits)
+    counts = toxicity.vote_counts(docs, voter)
+    every = dict.fromkeys(counts["pattern"], 0.5)
+    rows, _ = toxicity.training_rows(sample, voter, every, p)
+    assert rows.pattern.value_counts().to_dict() == dict(zip(counts["pattern"], counts["count"]))
+    assert all(any(x >> k & 1 for x in every) for k in (5, 6, 7, 8))
     model = toxicity.fit_toxicity(docs, given)
-    assert all(model.weights.get((1 << model.bits) + k, 0) > 0 for k in range(3))
-    voter = toxicity.Voters((frozenset(),) * 3, model.bits)
-    got = toxicity._gather(docs.select("text", F.lit(0).alias("label")), model.bits, voter)
-    lower = [r.text for r in docs.collect()]
-    assert sorted(got.pattern) == sorted(voter.pattern(t, set(toxicity.WORD.findall(t))) for t in lower) and all((got.pattern.to_numpy() >> k & 1).any() for k in (5, 6, 7))
-    extra = toxicity.unlabelled_sample(docs, given, "toxic", 6000, 600).toPandas()
-    want = {text(i) for i in range(200, 400) if crc32(str(i).encode()) % 4 != 2} | {text(2)}
+    assert model.voters is not None and len(model.vote_weights) == len(toxicity.voters())
+    extra = toxicity.unlabelled_sample(docs, given, "toxic", 6000).toPandas()
+    want = {text(i) for i in range(200, 400) if crc32(str(i).encode()) % 4 != 2} | {text(2), ""}
     assert set(extra.text) == want and len(extra) == len(want) and set(extra.label) == {-1}  # 200 copies are one row
 
 
-def test_votes_can_outvote_a_label():
-    got = toxicity.with_label(np.array([0.0001, 0.2, 0.9999, 0.2]), np.array([1, 1, 0, -1]), 0.99)
-    assert got[0] < 0.5 < got[1] and got[2] > 0.5 and abs(got[3] - 0.2) < 1e-9
+def test_evidence_grows_with_length():
+    v = toxicity.Voters({toxicity.token_features(f"bad{i}x", 22)[0]: 0 for i in range(9)}, (0.001, 0.001, 0.001), 22)
+    cache = toxicity.Cache(v.code)
+    weak = 1 << toxicity.FIRST_COUNTED
+    short, long = {"bad1x", "bad2x"}, {"bad1x", "bad2x"} | {f"w{i}" for i in range(5000)}
+    assert v.pattern("", short, cache) & weak and not v.pattern("", long, cache) & weak
+    assert v.pattern("", set(), cache) == 0 and toxicity.chance(3, 0.01) < -5 < toxicity.chance(1, 0.5) < 0 == toxicity.chance(1, 2.0)
 
 
 def test_folds_follow_the_contract(spark):

@@ -1,19 +1,23 @@
 """Toxicity by weak supervision.
 
-Many voters (word lists, patterns, word stems mined from the training labels) each fire or abstain on a text.
-A generative label model with a latent class, a base rate and, for each voter, its firing rate given the class
-and given the one voter it depends on most, is fitted by EM to the counts of vote patterns of all documents. It
-yields the voters' accuracies and their correlations, and a posterior label for every pattern. A linear
-classifier over hashed words, word stems and the pattern voters' firing is trained on the posterior labels of a
-bounded sample of labelled and unlabelled rows and put on the scale of the given labels; it scores every whole text.
+Many voters fire or abstain on a text: word lists, patterns, and evidence words. Evidence words are words and word
+stems that a log-likelihood ratio finds in toxic training documents too often for chance; they fall in three grades.
+A strong one votes by itself, weaker ones vote where a text has more of them than its length explains (a bound on the
+Poisson tail, at three levels), so that a long text does not fire them by chance.
 
-A given label is used to mine stems, as the known class of its row in EM, for the final scale, and in its row's target
-as one more voter of accuracy `label_accuracy`, which a posterior surer than that outvotes. An unlabelled row's target
-is the posterior of its votes alone.
+A generative label model with a latent class, a base rate and, for each voter, its firing rate given the class and
+given the one voter it depends on most, is fitted by EM to the counts of vote patterns of all documents. It yields the
+voters' accuracies and their correlations, and a posterior label for every pattern. No given label is in that fit.
+A linear classifier over hashed words, stems and the votes is trained on the posteriors of a bounded sample, and its
+scale is set by the given labels. It scores every whole text.
 
-Bounds: `voters()` are 12, so that at most 2**12 patterns come to the driver. The labelled sample holds at most
-`per_class` rows of either class, the unlabelled one about `unlabelled` distinct texts (those of least hash), both
-outside the held-out fold.
+A given label is used for three things: to find evidence words and their chance rates, to have enough rows of either
+class in the sample, and for the final scale. It is no target of the classifier.
+
+Bounds: `voters()` are 19, so that at most 2**19 patterns of 12 bytes come to the driver. The labelled sample holds at
+most `per_class` rows of either class, the unlabelled one about `unlabelled` distinct texts (those of least hash),
+both outside the held-out fold; of their features only those seen in `mined_docs` rows, and of the rows only the at
+most `features` chosen ones, come to the driver. Everything else is computed over all documents.
 
 Nulls and odd rows: a null text counts as empty; an empty text fires no voter and scores the bias; long texts
 are scored whole; equal texts score alike; a null id is in fold crc32('') of the labels; an empty table or an
@@ -22,6 +26,7 @@ empty label table gives an untrained constant score of the label rate; further c
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass, field
 from zlib import crc32
@@ -31,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, class_rates, fold, labelled_sample, small_batches
+from .common import Cache, class_rates, fold, labelled_sample, materialise
 
 WORD = re.compile(r"[^\W\d_]+")
 FOLDS, HELD_OUT = 4, 2
@@ -45,36 +50,133 @@ LEXICONS = {
     "hostility": "hate hates hatred despise loathe kill die destroy exterminate hang burn rot perish",
 }
 LISTS = {name: frozenset(words.split()) for name, words in LEXICONS.items()}
-LIST_OF = {word: name for name, words in LISTS.items() for word in words}
+LIST_OF = {word: k for k, words in enumerate(LISTS.values()) for word in words}
 INSULTING = frozenset().union(*(LISTS[k] for k in ("insults", "contempt", "dehumanising")))
 ADDRESS = re.compile(r"\b(?:you|they|he|she|these|those)\b[^.\n]{0,24}?\b(?:" + "|".join(sorted(INSULTING)) + r")\b")
 COMMANDS = ("shut up", "go away", "get lost", "drop dead", "go to hell", "nobody likes you", "kill yourself")
 COMMAND = re.compile(r"\b(?:" + "|".join(COMMANDS) + r")\b")
 CENSORED = re.compile(r"\b[a-z]{1,3}[*@#]{2,}[a-z]{1,3}\b")
 SIGNS = [a + b for a in "*@#" for b in "*@#"]
-PATTERNS = ("address", "command", "censored")  # voters 5 to 7
-MINED = ("words", "stems4", "stems5")
+PATTERNS = ("address", "command", "censored")
+STEMS = (4, 5, 6, 7)  # letters
+WIDTH = 2 + len(STEMS)  # features of a word: itself, its stems, its word list
+GRADES = ("weak", "medium", "strong")
+COUNTED = ("weak", "medium", "any")  # evidence that votes by its number
+LEVELS = (-1.0, -2.5, -5.0)  # powers of ten of the chance that a text of this length has so many
 
 
 def voters() -> list[str]:
-    return [*LISTS, *PATTERNS, *[f"mined_{m}" for m in MINED], "several"]
+    return [*LISTS, *PATTERNS, "strong", "strong twice", *[f"{c} {level}" for c in COUNTED for level in LEVELS]]
+
+
+FIRST_PATTERN, FIRST_EVIDENCE = len(LISTS), len(LISTS) + len(PATTERNS)
+FIRST_COUNTED = FIRST_EVIDENCE + 2
 
 
 @dataclass(frozen=True)
 class ToxicParams:
     per_class: int = 3000
     unlabelled: int = 6000
-    unlabelled_weight: float = 0.1
-    label_accuracy: float = 0.99
-    bits: int = 20
+    bits: int = 22
     features: int = 6000
-    mined_rate: float = 0.7
     mined_docs: int = 3
-    l2: float = 1e-3
+    grades: tuple[float, float, float] = (7.0, 11.0, 25.0)  # least log-likelihood ratio of a weak, medium and strong evidence word
+    purity: tuple[float, float, float] = (0.6, 0.6, 0.95)  # least share of its documents that are toxic
+    l2: float = 1e-4
     steps: int = 150
     threshold: float = 0.3
 
 
+# Features ---------------------------------------------------------------------------------------------------------
+
+def token_features(token: str, bits: int) -> list[int]:
+    """WIDTH hashed ids: the word, its stems and the word list it is on; -1 for none."""
+    mask = (1 << bits) - 1
+    stems = [crc32(f"{n}{token[:n]}".encode()) & mask if len(token) > n else -1 for n in STEMS]
+    return [crc32(token.encode()) & mask, *stems, crc32(b"list %d" % LIST_OF[token]) & mask if token in LIST_OF else -1]
+
+
+def words_of(text: str | None) -> tuple[str, set]:
+    """The text in lower case and its distinct words."""
+    lower = (text or "").lower()
+    return lower, set(WORD.findall(lower))
+
+
+def fired_patterns(lower: str, tokens: set) -> list[int]:
+    """Places in PATTERNS of those found in a text; none is searched for where its word, phrase or signs are not in the text."""
+    out = []
+    if not INSULTING.isdisjoint(tokens) and ADDRESS.search(lower):
+        out.append(0)
+    if any(x in lower for x in COMMANDS) and COMMAND.search(lower):
+        out.append(1)
+    if any(x in lower for x in SIGNS) and CENSORED.search(lower):
+        out.append(2)
+    return out
+
+
+def likelihood_ratio(toxic: np.ndarray, clean: np.ndarray, share: float) -> np.ndarray:
+    """Log-likelihood ratio of features found in so many toxic and clean rows against the toxic share of all words; 0 below it."""
+    n = np.maximum(toxic + clean, 1e-9)
+    rate = np.clip(toxic / n, 1e-12, 1 - 1e-12)
+    ratio = n * (rate * np.log(rate / share) + (1 - rate) * np.log((1 - rate) / (1 - share)))
+    return np.where(rate > share, ratio, 0.0)
+
+
+def chance(found: int, expected: float) -> float:
+    """Power of ten of a bound (Chernoff's) on the chance of so many or more, where `expected` are expected."""
+    return 0.0 if found <= expected else (found - expected - found * math.log(found / expected)) / math.log(10)
+
+
+@dataclass
+class Voters:
+    """Votes of a text. grade: hashed id to grade of an evidence word; rates: a word's chance to be counted as COUNTED."""
+
+    grade: dict[int, int]
+    rates: tuple[float, ...]
+    bits: int
+
+    def graded(self, ids) -> int:
+        """Grade of a word by its features; -1 for none."""
+        return max(self.grade.get(x, -1) for x in ids)
+
+    def code(self, token: str) -> int:
+        """1 + grade of a word, 0 for none, and its word list in higher bits. Words of insulting lists are strong, of other lists weak."""
+        grade = self.graded(token_features(token, self.bits)[:-1])
+        if token in LIST_OF:
+            grade = max(grade, 2 if token in INSULTING else 0)
+            return grade + 1 | (LIST_OF[token] + 1) << 2
+        return grade + 1
+
+    def votes(self, codes, n_words: int, fired) -> int:
+        """The pattern of votes of a text with so many distinct words, given the codes of those that are not 0."""
+        out, hits = 0, [0, 0, 0]
+        for code in codes:
+            if code >> 2:
+                out |= 1 << (code >> 2) - 1
+            hits[(code & 3) - 1] += 1
+        for k in fired:
+            out |= 1 << FIRST_PATTERN + k
+        if hits[2]:
+            out |= 1 << FIRST_EVIDENCE
+            out |= (hits[2] > 1) << FIRST_EVIDENCE + 1
+        if codes:
+            for c, found in enumerate((hits[0], hits[1], sum(hits))):
+                if found:
+                    power = chance(found, self.rates[c] * n_words)
+                    for k, level in enumerate(LEVELS):
+                        out |= (power <= level) << FIRST_COUNTED + c * len(LEVELS) + k
+        return out
+
+    def pattern(self, lower: str, tokens: set, cache: Cache) -> int:
+        return self.votes(list(filter(None, map(cache.__getitem__, tokens))), max(1, len(tokens)), fired_patterns(lower, tokens))
+
+
+def bits_of(patterns: np.ndarray) -> np.ndarray:
+    return (np.asarray(patterns, dtype=np.int64)[:, None] >> np.arange(len(voters()))) & 1
+
+
+# Label model ------------------------------------------------------------------------------------------------------
+
 @dataclass
 class LabelModel:
     """Firing rates of voters given the class and the voter each depends on."""
@@ -108,6 +210,7 @@ def _tree(votes: np.ndarray, weight: np.ndarray) -> tuple[list[int], np.ndarray]
         sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
         corr += np.abs(cov / np.outer(sd, sd)) * weight[:, y].sum() / max(weight.sum(), 1e-12)
     np.fill_diagonal(corr, 0)
+    corr = np.round(corr, 9)  # ties fall alike however the rows are grouped
     parent, joined = [-1] * len(corr), {0}
     while len(joined) < len(corr):
         strength, i, up = max((corr[i, j], -i, -j) for i in range(len(corr)) if i not in joined for j in joined)
@@ -117,10 +220,10 @@ def _tree(votes: np.ndarray, weight: np.ndarray) -> tuple[list[int], np.ndarray]
     return parent, corr
 
 
-def fit_label_model(votes: np.ndarray, counts: np.ndarray, known: np.ndarray, rounds: int = 40) -> LabelModel:
-    """EM over distinct (vote pattern, known label) rows; known: 0 or 1, or -1 where no label is given."""
-    fired = votes.any(1)
-    post = np.where(known >= 0, known, np.where(fired, 0.7, 0.02)).astype(float)
+def fit_label_model(votes: np.ndarray, counts: np.ndarray, rounds: int = 60) -> LabelModel:
+    """EM over distinct vote patterns and their counts. It begins from the number of voters that fire."""
+    fired = votes.sum(1)
+    post = np.where(fired >= 4, 0.95, np.where(fired >= 2, 0.3, 0.005)).astype(float)
     model = LabelModel(0.1, [-1] * votes.shape[1], np.full((votes.shape[1], 2, 2), 0.1))
     for _ in range(rounds):
         weight = np.stack([counts * (1 - post), counts * post], 1)
@@ -133,7 +236,7 @@ def fit_label_model(votes: np.ndarray, counts: np.ndarray, known: np.ndarray, ro
                     rate[i, y, v] = (w @ votes[:, i] + 0.5 * (0.3 if y else 0.01)) / (w.sum() + 0.5)
         base = (weight[:, 1].sum() + 0.5) / (weight.sum() + 1)
         model = LabelModel(float(base), parent, np.clip(rate, 1e-5, 1 - 1e-5), {}, corr)
-        fresh = np.where(known >= 0, known, model.posterior(votes))
+        fresh = model.posterior(votes)
         if np.abs(fresh - post).max() < 1e-6:
             break
         post = fresh
@@ -143,120 +246,93 @@ def fit_label_model(votes: np.ndarray, counts: np.ndarray, known: np.ndarray, ro
     return model
 
 
-def token_features(token: str, bits: int) -> tuple[int, ...]:
-    """Hashed ids of a word, of its stems of four and five letters, and of the word list it is on; -1 for none."""
-    mask = (1 << bits) - 1
-    return (
-        crc32(token.encode()) & mask, crc32(b"4" + token[:4].encode()) & mask if len(token) > 4 else -1,
-        crc32(b"5" + token[:5].encode()) & mask if len(token) > 5 else -1, crc32(b"list " + LIST_OF[token].encode()) & mask if token in LIST_OF else -1,
-    )
+# Samples ----------------------------------------------------------------------------------------------------------
 
+def unlabelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
+    """(text, label): about `rows` distinct texts of all documents without a label, outside the held-out fold; label is -1.
 
-def fired_patterns(lower: str, tokens: set) -> list[int]:
-    """Places in PATTERNS of those found in a text; none is searched for where its word, phrase or signs are not in the text."""
-    out = []
-    if not INSULTING.isdisjoint(tokens) and ADDRESS.search(lower):
-        out.append(0)
-    if any(x in lower for x in COMMANDS) and COMMAND.search(lower):
-        out.append(1)
-    if any(x in lower for x in SIGNS) and CENSORED.search(lower):
-        out.append(2)
-    return out
-
-
-@dataclass
-class Voters:
-    """Votes of a text; mined: sets of hashed ids, by kind."""
-
-    mined: tuple[frozenset, ...]
-    bits: int
-
-    def __post_init__(self):
-        def hits(token: str) -> int:
-            ids = token_features(token, self.bits)
-            found = sum(1 << i for i, words in enumerate(LISTS.values()) if token in words)
-            return found | sum(1 << (8 + k) for k, x in enumerate(ids[:3]) if x in self.mined[k])
-        self.cache = Cache(hits)
-
-    def __getstate__(self):
-        return {"mined": self.mined, "bits": self.bits}
-
-    def __setstate__(self, state):
-        self.__dict__.update(state)
-        self.__post_init__()
-
-    def pattern(self, lower: str, tokens: set) -> int:
-        out, bad = 0, 0
-        for token in tokens:
-            if hit := self.cache[token]:
-                out |= hit
-                bad += 1
-        for k in fired_patterns(lower, tokens):
-            out |= 1 << (5 + k)
-        return out | (bad >= 2) << 11
+    Texts of least hash are taken, so that each has the same chance and copies, however many, are one row.
+    """
+    known = labels.where(F.col(label).isin(0, 1)).select("doc_id")
+    share = min(1.0, rows / max(1, docs.count()) * FOLDS / (FOLDS - 1))
+    text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("order", F.xxhash64("text"))
+    text = text.where((fold(F.col("doc_id"), FOLDS) != HELD_OUT) & (F.pmod("order", F.lit(1_000_000_007)) < int(share * 1_000_000_007)))
+    return text.join(known, "doc_id", "left_anti").groupBy("order").agg(F.min("text").alias("text")).select("text", F.lit(-1).alias("label"))
 
 
-def bits_of(patterns: np.ndarray) -> np.ndarray:
-    return (np.asarray(patterns, dtype=np.int64)[:, None] >> np.arange(len(voters()))) & 1
+SAMPLED = "label int, fired int, ids array<int>"  # ids: WIDTH for each distinct word
 
 
-def _gather(sample: DataFrame, bits: int, voter: Voters | None = None) -> pd.DataFrame:
-    """Label, hashed features and, with voters, vote pattern of each sampled row."""
+def featured(sample: DataFrame, bits: int) -> DataFrame:
+    """Label, patterns that fire and features of each sampled row."""
     def features(batches):
+        cache = Cache(lambda token: token_features(token, bits))
         for pdf in batches:
-            ids, votes = [], []
+            fired, ids = [], []
             for text in pdf["text"]:
-                lower = (text or "").lower()
-                tokens = set(WORD.findall(lower))
-                ids.append(np.array([x for t in tokens for x in token_features(t, bits)], dtype=np.int32).tobytes())
-                votes.append(voter.pattern(lower, tokens) if voter else 0)
-            yield pd.DataFrame({"label": pdf["label"], "ids": ids, "pattern": votes})
-    return sample.mapInPandas(features, "label int, ids binary, pattern int").toPandas()
+                lower, tokens = words_of(text)
+                fired.append(sum(1 << k for k in fired_patterns(lower, tokens)))
+                ids.append(np.array([x for t in tokens for x in cache[t]], dtype=np.int32))
+            yield pd.DataFrame({"label": pdf["label"], "fired": fired, "ids": ids})
+    return sample.mapInPandas(features, SAMPLED)
+
+
+def _list_ids(bits: int) -> dict[int, int]:
+    return {crc32(b"list %d" % k) & ((1 << bits) - 1): k for k in range(len(LISTS))}
+
+
+def sampled_codes(ids: np.ndarray, voter: Voters, insulting: frozenset) -> list[int]:
+    """`Voters.code` of each word of a sampled row that has one, from its features; insulting: hashed ids of such words."""
+    lists, out = _list_ids(voter.bits), []
+    for word in np.asarray(ids).reshape(-1, WIDTH).tolist():
+        grade, on = voter.graded(word[:-1]), word[-1]
+        if on >= 0:
+            grade = max(grade, 2 if word[0] in insulting else 0)
+            out.append(grade + 1 | (lists[on] + 1) << 2)
+        elif grade >= 0:
+            out.append(grade + 1)
+    return out
 
 
-def unlabelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, total: int) -> DataFrame:
-    """(text, label): about `rows` distinct texts of `total` documents without a label, outside the held-out fold; label is -1.
+def insulting_ids(bits: int) -> frozenset:
+    return frozenset(token_features(w, bits)[0] for w in INSULTING)
 
-    Texts of least hash are taken, so that each has the same chance and copies, however many, are one row.
-    """
-    known = labels.where(F.col(label).isin(0, 1)).select("doc_id")
-    share = min(1.0, rows / max(1, total) * FOLDS / (FOLDS - 1))
-    text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("order", F.xxhash64("text"))
-    text = text.where((fold(F.col("doc_id"), FOLDS) != HELD_OUT) & (F.pmod("order", F.lit(1_000_000_007)) < int(share * 1_000_000_007)))
-    return text.join(known, "doc_id", "left_anti").groupBy("order").agg(F.min("text").alias("text")).select("text", F.lit(-1).alias("label"))
 
+def mined(sample: DataFrame, p: ToxicParams) -> dict[int, int]:
+    """Hashed id to grade of the evidence words and stems of the labelled sample."""
+    ids = F.filter("ids", lambda x: x >= 0)
+    known = sample.where(F.col("label") >= 0)
+    mass = {r["label"]: float(r["n"]) for r in known.groupBy("label").agg(F.sum(F.size("ids") / WIDTH).alias("n")).collect()}
+    share = (mass.get(1, 0.0) + 0.5) / (sum(mass.values()) + 1)
+    seen = known.select("label", F.explode(F.array_distinct(ids)).alias("id")).groupBy("id").agg(
+        F.count_if(F.col("label") == 1).alias("a"), F.count_if(F.col("label") == 0).alias("b"))
+    got = seen.where((F.col("a") >= p.mined_docs) & (F.col("a") >= min(p.purity) * (F.col("a") + F.col("b")))).toPandas()
+    ratio = likelihood_ratio(got["a"].to_numpy(float), got["b"].to_numpy(float), share)
+    pure = (got["a"] / np.maximum(got["a"] + got["b"], 1)).to_numpy(float)
+    grade = np.full(len(got), -1)
+    for k, (least, purity) in enumerate(zip(p.grades, p.purity, strict=True)):
+        grade[(ratio >= least) & (pure >= purity)] = k
+    return {int(i): int(g) for i, g in zip(got["id"], grade, strict=True) if g >= 0}
 
-def training_rows(got: pd.DataFrame, bits: int) -> list[np.ndarray]:
-    """Feature ids of each row: its hashed words and stems, and beyond them those of the pattern voters that fired."""
-    out = []
-    for ids, pattern in zip(got["ids"], got["pattern"], strict=True):
-        r = np.frombuffer(ids, dtype=np.int32)
-        fired = [(1 << bits) + k for k in range(len(PATTERNS)) if pattern >> (5 + k) & 1]
-        out.append(np.concatenate([r[r >= 0], np.array(fired, dtype=np.int32)]))
-    return out
 
+def chance_rates(sample: DataFrame, grade: dict[int, int], bits: int) -> tuple[float, ...]:
+    """Chance that a word of a clean labelled row counts as each of COUNTED."""
+    voter = Voters(grade, (), bits)
 
-def with_label(posterior: np.ndarray, label: np.ndarray, accuracy: float) -> np.ndarray:
-    """The posterior with the row's own label as one more voter; label: 0 or 1, or -1 for none."""
-    vote = np.where(label < 0, 0.0, np.where(label == 1, 1.0, -1.0)) * np.log(accuracy / (1 - accuracy))
-    sure = np.clip(posterior, 1e-6, 1 - 1e-6)
-    return 1 / (1 + np.exp(np.log((1 - sure) / sure) - vote))
+    def hits(batches):
+        insulting = insulting_ids(bits)
+        for pdf in batches:
+            rows = [[(c & 3) - 1 for c in sampled_codes(x, voter, insulting)] for x in pdf["ids"]]
+            yield pd.DataFrame({"weak": [r.count(0) for r in rows], "medium": [r.count(1) for r in rows], "any": [len(r) for r in rows], "n": [len(x) // WIDTH for x in pdf["ids"]]})
 
+    got = sample.where("label = 0").mapInPandas(hits, "weak long, medium long, any long, n long").agg(*[F.sum(c).alias(c) for c in (*COUNTED, "n")]).first()
+    return tuple(((got[c] or 0) + 0.5) / ((got["n"] or 0) + 1) for c in COUNTED)
 
-def _mine(rows: list[np.ndarray], y: np.ndarray, p: ToxicParams) -> tuple[frozenset, ...]:
-    """By kind, the hashed words and stems that are found in toxic documents mostly."""
-    out = []
-    for kind in range(3):
-        seen = [np.unique(r[r[:, kind] >= 0, kind]) for r in rows]
-        count = [np.bincount(np.concatenate([s for s, v in zip(seen, y, strict=True) if v == c] or [np.zeros(0, int)]), minlength=1 << p.bits) for c in (0, 1)]
-        scale = max(1, (y == 0).sum()) / max(1, (y == 1).sum())
-        rate = count[1] * scale / (count[0] + count[1] * scale + 1.0)
-        out.append(frozenset(np.flatnonzero((count[1] >= p.mined_docs) & (rate >= p.mined_rate) & (count[1] >= 10 * count[0])).tolist()))
-    return tuple(out)
 
+# Classifier -------------------------------------------------------------------------------------------------------
 
 def fit_linear(index: np.ndarray, start: np.ndarray, target: np.ndarray, weight: np.ndarray, size: int, l2: float, steps: int) -> tuple[np.ndarray, float]:
-    """Logistic regression on binary features, weights not below FLOOR, by accelerated projected gradient steps.
+    """Logistic regression on counted features, weights not below FLOOR, by accelerated projected gradient steps.
 
     index: feature ids, row by row from start.
     """
@@ -279,40 +355,52 @@ def platt(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, floa
     """Slope and intercept of the logistic curve of y on z, lightly held to slope 1."""
     a, b = 1.0, 0.0
     w = weight / weight.sum() * len(z)
-    for _ in range(30):
+    for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(a * z + b, -40, 40)))
         g = np.array([(w * (p - y) * z).sum() + 0.1 * (a - 1), (w * (p - y)).sum()])
         r = w * np.maximum(p * (1 - p), 1e-9)
         h = np.array([[(r * z * z).sum() + 0.1, (r * z).sum()], [(r * z).sum(), r.sum() + 1e-6]])
         step = np.linalg.solve(h, g)
-        a, b = a - np.clip(step[0], -2, 2), b - np.clip(step[1], -2, 2)
+        step *= min(1.0, 1 / max(1e-12, np.abs(step).max()))
+        a, b = a - step[0], b - step[1]
+        if np.abs(step).max() < 1e-7:
+            break
     return float(a), float(b)
 
 
 @dataclass
 class ToxicModel:
-    weights: dict[int, float]
+    weights: dict[int, float]  # of hashed words and stems
+    vote_weights: list[float]
     bias: float
     slope: float
     shift: float
     bits: int
+    voters: Voters | None = None
     label_model: LabelModel | None = None
 
     def scorer(self):
-        weights, bias, slope, shift, bits = self.weights, self.bias, self.slope, self.shift, self.bits
-        cache = Cache(lambda token: sum(weights.get(x, 0.0) for x in token_features(token, bits)))
-        patterns = [weights.get((1 << bits) + k, 0.0) for k in range(len(PATTERNS))]
+        weights, bits, voter, votes = self.weights, self.bits, self.voters, self.vote_weights
+
+        def effect(token: str):
+            code = voter.code(token) if voter else 0
+            weight = sum(weights.get(x, 0.0) for x in token_features(token, bits) if x >= 0)
+            return (weight, code) if weight or code else None
+        cache = Cache(effect)
 
         def score(text: str | None) -> float:
-            lower = (text or "").lower()
-            tokens = set(WORD.findall(lower))
-            z = sum(map(cache.__getitem__, sorted(tokens))) + sum(patterns[k] for k in fired_patterns(lower, tokens)) + bias
-            return float(1 / (1 + np.exp(-max(-40.0, min(40.0, slope * z + shift)))))
+            lower, tokens = words_of(text)
+            found = sorted(filter(None, map(cache.__getitem__, tokens)))
+            z = sum(w for w, _ in found) + self.bias
+            if voter:
+                pattern = voter.votes([c for _, c in found if c], max(1, len(tokens)), fired_patterns(lower, tokens))
+                z += sum(w for k, w in enumerate(votes) if pattern >> k & 1)
+            return 1 / (1 + math.exp(-max(-40.0, min(40.0, self.slope * z + self.shift))))
         return score
 
     def column(self, text):
         """Score as a column expression."""
-        model = ToxicModel(self.weights, self.bias, self.slope, self.shift, self.bits)
+        model = ToxicModel(self.weights, self.vote_weights, self.bias, self.slope, self.shift, self.bits, self.voters)
 
         @F.pandas_udf("double")
         def toxic_score(texts: pd.Series) -> pd.Series:
@@ -321,57 +409,72 @@ class ToxicModel:
         return toxic_score(text)
 
 
+def vote_counts(docs: DataFrame, voter: Voters) -> pd.DataFrame:
+    """Number of documents of each vote pattern, over all documents."""
+    @F.pandas_udf("long")
+    def pattern(texts: pd.Series) -> pd.Series:
+        cache = Cache(voter.code)
+        return pd.Series([voter.pattern(*words_of(t), cache) for t in texts], dtype="int64")
+
+    return docs.select(pattern("text").alias("pattern")).groupBy("pattern").count().toPandas().sort_values("pattern", ignore_index=True)
+
+
+def training_rows(sample: DataFrame, voter: Voters, posterior: dict[int, float], p: ToxicParams) -> tuple[pd.DataFrame, np.ndarray]:
+    """(label, pattern, kept places of chosen features) of each sampled row, and the chosen features' ids."""
+    def vote(batches):
+        insulting = insulting_ids(p.bits)
+        for pdf in batches:
+            pattern = [voter.votes(sampled_codes(x, voter, insulting), max(1, len(x) // WIDTH), [k for k in range(len(PATTERNS)) if f >> k & 1]) for x, f in zip(pdf["ids"], pdf["fired"], strict=True)]
+            yield pd.DataFrame({"label": pdf["label"], "pattern": pattern, "soft": [posterior[x] for x in pattern], "ids": pdf["ids"]})
+
+    voted = materialise(sample.mapInPandas(vote, "label int, pattern long, soft double, ids array<int>"), "toxic-voted")
+    ids = F.filter("ids", lambda x: x >= 0)
+    mass = voted.agg(F.sum(F.col("soft") * F.size("ids")).alias("a"), F.sum(F.size("ids")).alias("n")).first()
+    seen = voted.select("soft", F.explode(F.array_distinct(ids)).alias("id")).groupBy("id").agg(F.sum("soft").alias("a"), F.count(F.lit(1)).alias("n"))
+    got = seen.where((F.col("n") >= p.mined_docs) & (F.col("a") * float(mass["n"]) > F.col("n") * float(mass["a"]))).toPandas()
+    ratio = likelihood_ratio(got["a"].to_numpy(float), (got["n"] - got["a"]).to_numpy(float), float(np.clip(mass["a"] / max(1, mass["n"]), 1e-6, 1 - 1e-6)))
+    order = np.lexsort((got["id"], -np.round(ratio, 6)))[: p.features]
+    chosen = np.sort(got["id"].to_numpy()[order[ratio[order] > 6]].astype(np.int64))
+
+    def keep(batches):
+        for pdf in batches:
+            out = []
+            for x in pdf["ids"]:
+                x = np.asarray(x, dtype=np.int64)
+                at = np.minimum(np.searchsorted(chosen, x), len(chosen) - 1) if len(chosen) else np.zeros(len(x), int)
+                out.append(np.sort(at[chosen[at] == x]).astype(np.int32) if len(chosen) else np.zeros(0, np.int32))
+            yield pd.DataFrame({"label": pdf["label"], "pattern": pdf["pattern"], "soft": pdf["soft"], "kept": out})
+
+    rows = voted.mapInPandas(keep, "label int, pattern long, soft double, kept array<int>").toPandas()
+    rows["kept"] = [tuple(k) for k in rows["kept"]]
+    return rows.sort_values(["label", "pattern", "kept"], ignore_index=True), chosen  # one order, whatever the partitions
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, params: ToxicParams | None = None) -> ToxicModel:
     p = params or ToxicParams()
-    small_batches(docs.sparkSession)
     n0, n1 = class_rates(labels, "toxic", FOLDS, HELD_OUT)
     prior = (n1 + 0.5) / (n0 + n1 + 1)
-    got = _gather(labelled_sample(docs, labels, "toxic", FOLDS, HELD_OUT, p.per_class), p.bits)
-    y = got["label"].to_numpy()
-    if len(set(y.tolist())) < 2:
-        return ToxicModel({}, float(np.log(prior / (1 - prior))), 1.0, 0.0, p.bits)
-    rows = [np.frombuffer(b, dtype=np.int32).reshape(-1, 4) for b in got["ids"]]
-    voter = Voters(_mine(rows, y, p), p.bits)
-
-    @F.pandas_udf("long")
-    def pattern(texts: pd.Series) -> pd.Series:
-        lower = [(t or "").lower() for t in texts]
-        return pd.Series([voter.pattern(t, set(WORD.findall(t))) for t in lower], dtype="int64")
-
-    counts = docs.select(pattern("text").alias("pattern")).groupBy("pattern").count().toPandas()
-    labelled = labelled_sample(docs, labels, "toxic", FOLDS, HELD_OUT, p.per_class).select("text", "label")
-    got = _gather(labelled.unionAll(unlabelled_sample(docs, labels, "toxic", p.unlabelled, int(counts["count"].sum()))), p.bits, voter)
-    rows, own, y = training_rows(got, p.bits), got["pattern"].to_numpy(), got["label"].to_numpy()
-    given = y >= 0
-    balance = np.where(y[given] == 1, min(1.0, p.per_class / max(1, n1)) ** -1, min(1.0, p.per_class / max(1, n0)) ** -1)
-    votes = bits_of(np.concatenate([counts["pattern"], own[given]]))
-    known = np.concatenate([np.full(len(counts), -1), y[given]])
-    model = fit_label_model(votes, np.concatenate([counts["count"], balance]).astype(float), known)
-
-    soft = with_label(model.posterior(bits_of(own)), y, p.label_accuracy)
-    row_weight = np.where(given, 1.0, p.unlabelled_weight)
-    class_weight = np.where(y == 1, n1 / max(1, (y == 1).sum()), n0 / max(1, (y == 0).sum()))[given]
-    unique, size = [np.unique(r) for r in rows], (1 << p.bits) + len(PATTERNS)
-    flat = np.concatenate(unique)
-    owner = np.repeat(np.arange(len(unique)), [len(u) for u in unique])
-    pos = np.bincount(flat, weights=(row_weight * soft)[owner], minlength=size)
-    neg = np.bincount(flat, weights=(row_weight * (1 - soft))[owner], minlength=size)
-    odds = np.log((pos + 0.5) / (row_weight @ soft + 1)) - np.log((neg + 0.5) / (row_weight @ (1 - soft) + 1))
-    odds = np.maximum(odds, 0)  # signs of toxicity only
-    strength = np.where(pos + neg >= p.mined_docs, odds * np.sqrt(np.minimum(pos + neg, np.maximum(pos, neg))), 0)
-    chosen = np.argsort(-strength, kind="stable")[: min(p.features, 4 * len(y))]
-    chosen = np.sort(chosen[strength[chosen] > 0])
-    place = np.full(size, -1)
-    place[chosen] = np.arange(len(chosen))
-    kept = [place[u][place[u] >= 0] for u in unique]
-    start = np.cumsum([0, *[len(k) for k in kept[:-1]]])
-    index = np.concatenate(kept)
-    w, bias = fit_linear(index, start, soft, row_weight, len(chosen), p.l2 / 10 + 0.3 / len(y), p.steps)
-    weights = {int(i): float(v) for i, v in zip(chosen, w, strict=True) if abs(v) > 1e-4}
-    out = ToxicModel(weights, bias, 1.0, 0.0, p.bits, model)
-    z = np.array([sum(weights.get(int(x), 0.0) for x in r) for r, g in zip(rows, given, strict=True) if g]) + bias
-    out.slope, out.shift = platt(z, y[given].astype(float), class_weight)
-    return out
+    known = labelled_sample(docs, labels, "toxic", FOLDS, HELD_OUT, p.per_class).select("text", "label")
+    sample = materialise(featured(known.unionAll(unlabelled_sample(docs, labels, "toxic", p.unlabelled)), p.bits), "toxic-sample")
+    if sample.where("label >= 0").select("label").distinct().count() < 2:
+        return ToxicModel({}, [], float(np.log(prior / (1 - prior))), 1.0, 0.0, p.bits)
+    grade = mined(sample, p)
+    voter = Voters(grade, chance_rates(sample, grade, p.bits), p.bits)
+    counts = vote_counts(docs, voter)
+    model = fit_label_model(bits_of(counts["pattern"]), counts["count"].to_numpy(float))
+    posterior = dict(zip(counts["pattern"].tolist(), model.posterior(bits_of(counts["pattern"])).tolist(), strict=True))
+
+    rows, chosen = training_rows(sample, voter, posterior, p)
+    votes = bits_of(rows["pattern"])
+    index = [np.concatenate([np.array(k, dtype=np.int64), len(chosen) + np.flatnonzero(v)]) for k, v in zip(rows["kept"], votes, strict=True)]
+    start = np.cumsum([0, *[len(k) for k in index[:-1]]])
+    w, bias = fit_linear(np.concatenate(index), start, rows["soft"].to_numpy(float), np.ones(len(rows)), len(chosen) + votes.shape[1], p.l2 + 0.3 / len(rows), p.steps)
+    given = np.flatnonzero(rows["label"] >= 0)
+    y = rows["label"].to_numpy()[given]
+    weight = np.where(y == 1, n1 / max(1, (y == 1).sum()), n0 / max(1, (y == 0).sum()))
+    slope, shift = platt(np.array([w[index[i]].sum() for i in given]) + bias, y.astype(float), weight)
+    weights = {int(i): float(v) for i, v in zip(chosen, w, strict=False) if abs(v) > 1e-4}
+    return ToxicModel(weights, w[len(chosen) :].tolist(), bias, slope, shift, p.bits, voter, model)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, params: ToxicParams | None = None) -> DataFrame:
