@@ -4,18 +4,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHARED_DIR = "spark.checkpoint.dir"
-ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where the session names none (tests), one is made."""
+    """The folder that driver and executors share. In local mode (tests) one is made where the session names none."""
     found = spark.conf.get(SHARED_DIR, None) or spark.sparkContext.getConf().get(SHARED_DIR)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"{SHARED_DIR} must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set(SHARED_DIR, found)
     return found.rstrip("/")
@@ -25,13 +28,45 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it again: a cut lineage that outlives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/xylem-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most `rows` texts, so that Python holds few long texts at a time."""
-    if int(spark.conf.get(ARROW_ROWS)) > rows:
-        spark.conf.set(ARROW_ROWS, str(rows))
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `materialise` wrote and that nothing will read any more; others are left alone."""
+    for df in tables:
+        if path := getattr(df, "written_to", None):
+            jvm = df.sparkSession._jvm
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "8m"):
+    """Arrow batches of at most `size` in the actions within, whatever the length of texts; then the session's own again."""
+    own = spark.conf.get(ARROW_BYTES)
+    spark.conf.set(ARROW_BYTES, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_BYTES, own)
+
+
+def heavy_above(rows: int) -> int:
+    """Rows of one key beyond which `join_heavy` treats it apart: at most 10,000 keys can have so many of `rows`."""
+    return max(1000, rows // 10_000)
+
+
+def join_heavy(big: DataFrame, small: DataFrame, on: list[str], heavy: Column) -> DataFrame:
+    """Inner join in which keys with very many rows in `big` don't meet in one task.
+
+    small has a row for each key. Its rows where `heavy` holds, at most 10,000 by `heavy_above`, are broadcast; the
+    others are joined by a shuffle.
+    """
+    hot = small.where(heavy)
+    rest = big.join(F.broadcast(hot.select(*on)), on, "left_anti").join(small.where(~heavy), on)
+    return big.join(F.broadcast(hot), on).unionByName(rest)
 
 
 def fold(doc_id: Column, of: int) -> Column:
@@ -73,16 +108,21 @@ def class_rates(labels: DataFrame, label: str, folds: int, held_out: int) -> tup
 
 
 class Cache(dict):
-    """A dict that makes missing values by a function and starts afresh when it holds `most` of them."""
+    """A dict that makes missing values by a function.
+
+    Keys of more than `longest` characters are not held, and it starts afresh when it holds `most`, so that its size has a bound.
+    """
 
-    def __init__(self, make, most: int = 400_000):
+    def __init__(self, make, most: int = 300_000, longest: int = 64):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.longest = make, most, longest
 
     def __missing__(self, key):
-        if len(self) >= self.most:
-            self.clear()
-        value = self[key] = self.make(key)
+        value = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = value
         return value
 
 

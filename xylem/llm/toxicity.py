@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from zlib import crc32
 
@@ -36,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, class_rates, fold, labelled_sample, materialise
+from .common import Cache, class_rates, fold, labelled_sample, materialise, small_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 FOLDS, HELD_OUT = 4, 2
@@ -91,9 +92,10 @@ class ToxicParams:
 
 def token_features(token: str, bits: int) -> list[int]:
     """WIDTH hashed ids: the word, its stems and the word list it is on; -1 for none."""
-    mask = (1 << bits) - 1
-    stems = [crc32(f"{n}{token[:n]}".encode()) & mask if len(token) > n else -1 for n in STEMS]
-    return [crc32(token.encode()) & mask, *stems, crc32(b"list %d" % LIST_OF[token]) & mask if token in LIST_OF else -1]
+    mask, raw = (1 << bits) - 1, token.encode()
+    plain = len(raw) == len(token)
+    stems = [crc32(raw[:n] if plain else token[:n].encode(), n) & mask if len(token) > n else -1 for n in STEMS]
+    return [crc32(raw) & mask, *stems, crc32(b"list %d" % LIST_OF[token]) & mask if token in LIST_OF else -1]
 
 
 def words_of(text: str | None) -> tuple[str, set]:
@@ -266,7 +268,7 @@ SAMPLED = "label int, fired int, ids array<int>"  # ids: WIDTH for each distinct
 def featured(sample: DataFrame, bits: int) -> DataFrame:
     """Label, patterns that fire and features of each sampled row."""
     def features(batches):
-        cache = Cache(lambda token: token_features(token, bits))
+        cache = Cache(lambda token: token_features(token, bits), 50_000)
         for pdf in batches:
             fired, ids = [], []
             for text in pdf["text"]:
@@ -403,18 +405,20 @@ class ToxicModel:
         model = ToxicModel(self.weights, self.vote_weights, self.bias, self.slope, self.shift, self.bits, self.voters)
 
         @F.pandas_udf("double")
-        def toxic_score(texts: pd.Series) -> pd.Series:
+        def toxic_score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             score = model.scorer()
-            return pd.Series([score(t) for t in texts], dtype="float64")
+            for texts in batches:
+                yield pd.Series([score(t) for t in texts], dtype="float64")
         return toxic_score(text)
 
 
 def vote_counts(docs: DataFrame, voter: Voters) -> pd.DataFrame:
     """Number of documents of each vote pattern, over all documents."""
     @F.pandas_udf("long")
-    def pattern(texts: pd.Series) -> pd.Series:
+    def pattern(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         cache = Cache(voter.code)
-        return pd.Series([voter.pattern(*words_of(t), cache) for t in texts], dtype="int64")
+        for texts in batches:
+            yield pd.Series([voter.pattern(*words_of(t), cache) for t in texts], dtype="int64")
 
     return docs.select(pattern("text").alias("pattern")).groupBy("pattern").count().toPandas().sort_values("pattern", ignore_index=True)
 
@@ -451,7 +455,11 @@ def training_rows(sample: DataFrame, voter: Voters, posterior: dict[int, float],
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, params: ToxicParams | None = None) -> ToxicModel:
-    p = params or ToxicParams()
+    with small_batches(docs.sparkSession):
+        return _fit(docs, labels, params or ToxicParams())
+
+
+def _fit(docs: DataFrame, labels: DataFrame, p: ToxicParams) -> ToxicModel:
     n0, n1 = class_rates(labels, "toxic", FOLDS, HELD_OUT)
     prior = (n1 + 0.5) / (n0 + n1 + 1)
     known = labelled_sample(docs, labels, "toxic", FOLDS, HELD_OUT, p.per_class).select("text", "label")
