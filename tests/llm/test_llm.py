@@ -377,6 +377,54 @@ def test_no_isolated_pair_at_the_threshold_is_lost(spark):
     assert len(out) == 8000 and all((r.class_id, r.links) == (r.doc_id // 2 * 2, 1) for r in out)
 
 
+def test_open_nodes_are_compared(spark):
+    """A node whose least text is like none of the others, and two classes whose only link is between others than those."""
+    p, rng = ngram_join.JoinParams(trees=2, depth=2, recall=0.1, block=4), random.Random(6)
+    rows = []
+    for g in range(30):
+        base = [f"g{g}w{i}" for i in range(60)]
+        for k in range(8):
+            w = list(base)
+            for i in range(60):
+                if rng.random() < (0.004, 0.012, 0.02)[k % 3]:
+                    w[i] = f"n{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = ngram_join.signatures(docs, p).withColumnsRenamed({"doc_id": "rep"}).withColumn("copies", F.lit(1).cast("long"))
+    nodes = {}
+    for r in ngram_join.prefix_tries(texts, p).collect():
+        nodes.setdefault(r[f"n{p.matched}"], set()).add(r.rep)
+    want, sets = brute_join(rows), [set(ngram_join.shingles(t).tolist()) for _, t in rows]
+    out = {r.doc_id: (r.class_id, r.links) for r in ngram_join.join_similar(docs, p).collect()}
+    for node in nodes.values():
+        for a in node:
+            for b in node:
+                if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    assert out[a][0] == out[b][0]  # no linked pair below a common node is in two classes
+    of = {}
+    for i, (c, n) in out.items():
+        of.setdefault(c, []).append((i, n))
+    for members in of.values():
+        for i, n in members:
+            assert n == sum(i != j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j, _ in members)
+            assert n <= want[i][1]
+
+
+def test_repeated_ids_leave_one_row_however_dealt(spark):
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(7, long, "a"), (7, long, "b"), (7, "an other text of this id", "c"), (3, "x y z", "d"), (3, "x y z", "d"), (9, long, "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra string")
+    got = [sorted(map(tuple, ngram_join.drop_similar(docs.repartition(n, "extra")).collect())) for n in (1, 4)]
+    assert got[0] == got[1] and [r[0] for r in got[0]] == [3, 7]
+
+
+def test_components_of_a_hub(spark):
+    """A node of very many edges, and a path of such nodes."""
+    edges = spark.range(6000).select((F.col("id") + 10).alias("a"), F.lit(5).cast("long").alias("b")).union(spark.createDataFrame([(5, 3), (3, 1), (None, 4), (4, None)], "a long, b long"))
+    got = components(edges)
+    assert got.count() == 6003 and got.where("comp <> 1").count() == 0
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7)], "a long, b long")
     got = {r.id: r.comp for r in components(edges).collect()}

@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, small_batches
+from .common import Cache
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -184,13 +184,11 @@ def token_digests(text: Column, path: str, pattern: str, keep_ids: bool = False)
 
 def tokenize(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every whole text."""
-    small_batches(docs.sparkSession)
     return docs.select("doc_id", token_digests(F.col("text"), path, pattern).alias("t")).select("doc_id", "t.*")
 
 
 def with_tokens(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, both digests and the ids themselves, of every whole text."""
-    small_batches(docs.sparkSession)
     return docs.select("doc_id", token_digests(F.col("text"), path, pattern, True).alias("t")).select("doc_id", "t.*")
 
 

@@ -27,7 +27,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
 
 UNIT, UNITS = 576, 2730
 STORED_QUANT = 4  # of DC: thumbnail pixel = 128 + v / 2
@@ -302,7 +301,6 @@ def text_media(text: str | None, keep: bool = False) -> dict:
 
 def store_texts(docs: DataFrame, keep_media: bool = False) -> DataFrame:
     """doc_id and the media columns of every whole text; with keep_media also the stored bytes."""
-    small_batches(docs.sparkSession)
 
     @F.pandas_udf(MEDIA + (", media binary" if keep_media else ""))
     def media(texts: pd.Series) -> pd.DataFrame:
@@ -313,7 +311,6 @@ def store_texts(docs: DataFrame, keep_media: bool = False) -> DataFrame:
 
 def media_features(df: DataFrame, column: str) -> DataFrame:
     """Adds struct `jpeg` (width, height, frames, thumbnail_hash, error) of a column of JPEG bytes to df."""
-    small_batches(df.sparkSession)
 
     @F.pandas_udf("width int, height int, frames int, thumbnail_hash string, error string")
     def measure(media: pd.Series) -> pd.DataFrame:

@@ -1,25 +1,28 @@
 """N-gram Jaccard join: a MinHash LSH forest, then exact verification.
 
-1. One pass over the texts gives each a digest and its MinHash signature, as trees of up to `depth` components.
-   Texts that are equal are one from here on, with a count.
-2. Each tree is a prefix trie of signatures. The matched prefix is shortened from the full depth until the recall at
-   the threshold, 1 - (1 - t**d)**trees, reaches the target: with production parameters from 8 to 5, where 3 of a
-   million pairs at the threshold meet in no tree. That depth is one for all texts, set by the parameters and not by
-   the data, so that what runs is banding of trees x depth. Deeper nodes need no join of their own: texts with a
-   longer common prefix have the shorter one too. Texts below a common node are candidates of one another; they are
-   linked to the node's least id, never to each other.
-3. Connected candidates are verified exactly: their shingle sets are dealt into blocks and each pair of blocks is
-   a tile, in which intersections are counted by matrix products. A tile returns a row for each of its texts: the
-   number of links and the least text it is connected to. A group of any size is spread over its tiles.
-4. Classes are the components of the verified links.
+1. One pass over the texts gives each a digest and its MinHash signature, as trees of `depth` components. Texts that
+   are equal are one from here on, with a count.
+2. Each tree is a prefix trie of signatures: a node is a tree and a prefix, and holds the texts below it. Texts that are
+   alone in all nodes of the shortest prefix have no partner and leave.
+3. Matched prefixes are shortened level by level, from the full depth on, until the recall at the threshold,
+   1 - (1 - t**d)**trees, reaches the target (with production parameters from 8 components to 5, where 3 of a million
+   pairs at the threshold meet in no tree). At each level only nodes that still hold several classes have work left:
+   their texts are compared with the node's least text, exactly, and classes are joined. Most nodes are settled at
+   the full depth and never looked at again.
+4. What the last level leaves open are nodes of three or more texts in several classes. In those, texts outside the
+   largest class are compared with all texts of the node, in tiles. After that every pair that shares a node is
+   either in one class or has been compared.
+5. Links are counted exactly within each class, in tiles of two blocks: a pair of different classes has no link. A
+   class of any size is spread over its tiles, and a block is bounded by its number of shingles as well.
 
 Words are runs of characters that aren't ASCII white space, in lower case; shingles are `words` of them in a row. A
 text of fewer words is one shingle, all texts without words share one.
 
-Nulls and odd rows: a null text counts as empty; a row with a null id has neither class nor links; ids are taken
-as unique, and rows of one id with other texts come to one class; equal texts are linked (copies are counted, not
-expanded); repeated rows are returned each; an empty table gives an empty result; further columns are ignored by
-`join_similar` and pass through `drop_similar`.
+Nulls and odd rows: a null text counts as empty; a row with a null id has neither class nor links, and stays in
+`drop_similar`; ids are taken as unique: rows of one id with other texts come to one class, in which the text of least
+digest stands for the id; of the rows of a kept id the one of least digest of all columns stays; equal texts are linked
+(copies are counted, not expanded); repeated rows are returned each; an empty table gives an empty result; further
+columns are ignored by `join_similar` and pass through `drop_similar`.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches
+from .common import heavy_above, join_heavy, materialise, small_batches
 from .components import components
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -49,9 +52,11 @@ class JoinParams:
     trees: int = 32
     depth: int = 8
     recall: float = 0.99999
-    block: int = 256
+    step: int = 3  # components by which a prefix is shortened
+    block: int = 256  # texts of a block
+    block_shingles: int = 500_000
     seed: int = 11
-    broadcast_ids: int = 500_000  # beyond this many candidate texts, their ids are joined by a shuffle
+    broadcast_ids: int = 500_000  # beyond this many dropped documents, their ids are joined by a shuffle
 
     @property
     def matched(self) -> int:
@@ -61,6 +66,11 @@ class JoinParams:
             d -= 1
         return d
 
+    @property
+    def levels(self) -> list[int]:
+        """Prefix lengths from the full depth down to the matched one."""
+        return sorted({*range(self.depth, self.matched, -self.step), self.matched}, reverse=True)
+
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if "up" not in _powers or len(_powers["up"]) < n:
@@ -114,29 +124,28 @@ def signature(hashes: np.ndarray, family: tuple[np.ndarray, np.ndarray]) -> np.n
 
 
 def signatures(docs: DataFrame, p: JoinParams) -> DataFrame:
-    """(doc_id, key, trees): the text's digest and, by tree, the components of its matched prefix."""
-    deep = p.matched
-
+    """(doc_id, key, trees): the text's digest and, by tree, the bytes of its components."""
     def sign(batches):
-        family = tuple(x.reshape(p.trees, p.depth)[:, :deep].ravel() for x in _family(p))
+        family = _family(p)
         for pdf in batches:
             keys, trees = [], []
             for text in pdf["text"]:
                 text = "" if text is None else text
                 keys.append(hashlib.blake2b(text.encode(), digest_size=16).digest())
-                sig = signature(shingles(text, p.words), family).reshape(p.trees, deep)
-                trees.append([row.tobytes() for row in sig])
+                trees.append([row.tobytes() for row in signature(shingles(text, p.words), family).reshape(p.trees, p.depth)])
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "key": keys, "trees": trees})
 
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInPandas(sign, "doc_id long, key binary, trees array<binary>")
 
 
-def candidate_edges(texts: DataFrame) -> DataFrame:
-    """(a, b): each text and the least text below a common trie node."""
-    nodes = texts.select("rep", F.posexplode("trees").alias("tree", "prefix")).select("rep", F.xxhash64("tree", "prefix").alias("node"))
-    hubs = nodes.groupBy("node").agg(F.min("rep").alias("hub"), F.max("rep").alias("other")).where(F.col("hub") != F.col("other")).select("node", "hub")
-    return nodes.join(hubs, "node").where(F.col("rep") != F.col("hub")).select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+def prefix_tries(texts: DataFrame, p: JoinParams) -> DataFrame:
+    """(rep, n8, .., n5): for each text and tree the trie nodes of each level, of texts that share a node of the last level."""
+    tree = texts.select("rep", F.posexplode("trees").alias("tree", "sig"))
+    nodes = tree.select("rep", *[F.xxhash64("tree", F.substring("sig", 1, 2 * d)).alias(f"n{d}") for d in p.levels])
+    last = f"n{p.matched}"
+    shared = nodes.groupBy(last).agg(F.count(F.lit(1)).alias("below"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where(F.col("lo") != F.col("hi")).select(last, "below")
+    return join_heavy(nodes, shared, [last], F.col("below") > heavy_above(texts.count() * p.trees)).select("rep", *[f"n{d}" for d in p.levels])
 
 
 def _counts(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
@@ -159,16 +168,21 @@ def _counts(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096)
     return out
 
 
-def verify_tile(ids: np.ndarray, side: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], within: bool, threshold: float):
-    """(id, links, least connected id) of each text of a tile; links count copies of the linked texts."""
-    a = np.arange(len(ids)) if within else np.flatnonzero(side == side.min())
-    b = np.arange(len(ids)) if within else np.flatnonzero(side != side.min())
+def verify_tile(ids: np.ndarray, side: np.ndarray, cls: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], within: bool, count: bool, threshold: float):
+    """(links, least connected id) of each row of a tile, whose sides 0 and 1, or all rows `within` it, are compared.
+
+    Counting, links are those to all others, times the copies of the linked texts; else pairs of one class are passed over.
+    """
+    a = np.arange(len(ids)) if within else np.flatnonzero(side == 0)
+    b = np.arange(len(ids)) if within else np.flatnonzero(side == 1)
     links, label = np.zeros(len(ids), dtype=np.int64), ids.copy()
-    if not len(a) or not len(b):
+    if not len(a) or not len(b) or (not count and len(np.unique(cls)) < 2):
         return links, label
     size = np.array([len(s) for s in sets])
     both = _counts([sets[i] for i in a], [sets[i] for i in b])
     near = both >= threshold * (size[a][:, None] + size[b][None, :] - both) - 1e-6
+    if not count:
+        near &= cls[a][:, None] != cls[b][None, :]
     if within:
         np.fill_diagonal(near, False)
     links[a] += near @ copies[b]
@@ -187,66 +201,140 @@ def verify_tile(ids: np.ndarray, side: np.ndarray, copies: np.ndarray, sets: lis
     return links, label
 
 
-def verified(docs: DataFrame, texts: DataFrame, p: JoinParams) -> DataFrame:
-    """(id, links, label) rows, some for each candidate text."""
-    comps = components(candidate_edges(texts))
-    sizes = comps.groupBy("comp").count().select("comp", F.ceil(F.col("count") / p.block).cast("int").alias("blocks"))
-    members = comps.join(sizes, "comp").join(texts.select(F.col("rep").alias("id"), "copies"), "id")
-    members = materialise(members.select("id", "comp", "blocks", "copies", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")), "join-members")
-    if members.limit(p.broadcast_ids + 1).count() <= p.broadcast_ids:
-        members = F.broadcast(members)
-
-    def sets(batches):
-        for pdf in batches:
-            out = pdf.drop(columns="text")
-            out["set"] = [shingles(t, p.words).view(np.int64) for t in pdf["text"]]
-            yield out
+def verified(rows: DataFrame, sets: DataFrame, p: JoinParams, count: bool = False) -> DataFrame:
+    """(id, links, label) rows, some for each text, of tiles (group, lo, hi) with rows (id, side, cls).
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(members, "id").select("id", "comp", "blocks", "copies", "block", "text")
-    rows = rows.mapInPandas(sets, "id long, comp long, blocks int, copies long, block int, set array<long>")
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("id", "comp", "copies", "block", "set", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    tiles = rows.repartition("comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi", "id")
+    Each tile is checked by one task, which holds one tile at a time.
+    """
+    rows = rows.join(sets.select("id", "copies", "set"), "id")
+    tiles = rows.select("group", "lo", "hi", "side", "id", "cls", "copies", "set").repartition("group", "lo", "hi").sortWithinPartitions("group", "lo", "hi", "side", "id")
 
     def check(batches):
         held = None
         for pdf in batches:
             pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            tile = pdf[["comp", "lo", "hi"]].to_numpy()
+            tile = pdf[["group", "lo", "hi"]].to_numpy()
             cut = np.flatnonzero((tile[1:] != tile[:-1]).any(1)) + 1
             at = [0, *cut.tolist()]
             if len(at) > 1:
-                yield _tiles(pdf, at, p)
+                yield _tiles(pdf, at, p, count)
             held = pdf.iloc[at[-1] :]
         if held is not None and len(held):
-            yield _tiles(held.reset_index(drop=True), [0, len(held)], p)
+            yield _tiles(held.reset_index(drop=True), [0, len(held)], p, count)
 
     return tiles.mapInPandas(check, "id long, links long, label long")
 
 
-def _tiles(pdf: pd.DataFrame, at: list[int], p: JoinParams) -> pd.DataFrame:
+def _tiles(pdf: pd.DataFrame, at: list[int], p: JoinParams, count: bool) -> pd.DataFrame:
     """Verifies the tiles that begin at each but the last of `at`, which is an end."""
-    ids, copies, side, lo, hi = (pdf[c].to_numpy() for c in ("id", "copies", "block", "lo", "hi"))
+    ids, copies, side, cls, lo, hi = (pdf[c].to_numpy() for c in ("id", "copies", "side", "cls", "lo", "hi"))
     out = []
     for i, j in zip(at, at[1:], strict=False):
-        own, first = ids[i:j], np.unique(ids[i:j], return_index=True)[1]  # a repeated row counts once
-        pick = i + first
-        links, label = verify_tile(ids[pick], side[pick], copies[pick], [np.asarray(s).view(np.uint64) for s in pdf["set"].iloc[pick]], lo[i] == hi[i], p.threshold)
-        out.append(pd.DataFrame({"id": own[first], "links": links, "label": label}))
+        sets = [np.asarray(s).view(np.uint64) for s in pdf["set"].iloc[i:j]]
+        links, label = verify_tile(ids[i:j], side[i:j], cls[i:j], copies[i:j], sets, count and lo[i] == hi[i], count, p.threshold)
+        out.append(pd.DataFrame({"id": ids[i:j], "links": links, "label": label}))
     return pd.concat(out)
 
 
-def classes(docs: DataFrame, p: JoinParams) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, key) of every row and (key, rep, copies, class_id, links) of every distinct text."""
-    small_batches(docs.sparkSession)
+def _blocks(texts: str, shingle_sum: str, p: JoinParams):
+    """Number of blocks for so many texts of so many shingles."""
+    return F.greatest(F.ceil(F.col(texts) / p.block), F.ceil(F.col(shingle_sum) / p.block_shingles), F.lit(1)).cast("int")
+
+
+def _deal(blocks: str, salt: int = 0):
+    return F.pmod(F.xxhash64("id", F.lit(salt)), F.col(blocks)).cast("int")
+
+
+def _to(end: str):
+    return F.explode(F.sequence(F.lit(0), F.col(end) - 1))
+
+
+def star_tiles(trie: DataFrame, level: int, rows: int, p: JoinParams) -> DataFrame:
+    """Tiles of a node's least text with those texts of the node that aren't in its class, each pair once."""
+    trie = trie.withColumnRenamed(f"n{level}", "node")
+    hubs = trie.groupBy("node").agg(F.min(F.struct("id", "cls")).alias("h"), F.min("cls").alias("least"), F.max("cls").alias("most"), F.count(F.lit(1)).alias("below"))
+    hubs = hubs.where(F.col("least") != F.col("most")).select("node", F.col("h.id").alias("hub"), F.col("h.cls").alias("hub_cls"), "below")
+    pairs = join_heavy(trie.select("node", "id", "cls", "n"), hubs, ["node"], F.col("below") > heavy_above(rows)).where(F.col("cls") != F.col("hub_cls"))
+    pairs = materialise(pairs.select("hub", "id", "n").distinct(), "join-star")
+    sizes = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("size")).select("hub", "texts", _blocks("texts", "size", p).alias("blocks"))
+    dealt = join_heavy(pairs, sizes, ["hub"], F.col("texts") > heavy_above(pairs.count()))
+    near = dealt.select(F.col("hub").alias("group"), F.lit(0).alias("lo"), _deal("blocks").alias("hi"), F.lit(1).alias("side"), "id")
+    own = sizes.select(F.col("hub").alias("group"), F.lit(0).alias("lo"), _to("blocks").alias("hi"), F.lit(0).alias("side"), F.col("hub").alias("id"))
+    return near.unionByName(own).withColumn("cls", F.col("id"))
+
+
+def open_tiles(trie: DataFrame, level: int, rows: int, p: JoinParams) -> DataFrame:
+    """Tiles of nodes of several classes: texts outside the node's largest class (side 0) with all its texts (side 1).
+
+    Nodes of one set of texts in several trees are one. A node of two texts has been compared as a star.
+    """
+    trie = trie.select(F.col(f"n{level}").alias("node"), "id", "cls", "n")
+    mark = F.xxhash64("id")
+    per = trie.groupBy("node", "cls").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("size"), F.min("id").alias("least"), F.bit_xor(mark).alias("x"))
+    per = per.groupBy("node").agg(F.sum("texts").alias("below"), F.sum("size").alias("size"), F.max(F.struct("texts", "cls", "size")).alias("top"), F.count(F.lit(1)).alias("k"), F.min("least").alias("least"), F.bit_xor("x").alias("x"))
+    per = per.where((F.col("k") > 1) & (F.col("below") > 2)).groupBy("below", "size", "least", "x").agg(F.min(F.struct("node", "top")).alias("t"))
+    per = per.select(F.col("t.node").alias("node"), "below", "size", F.col("t.top.cls").alias("major"), (F.col("below") - F.col("t.top.texts")).alias("few"), (F.col("size") - F.col("t.top.size")).alias("few_size"))
+    per = per.select("node", "below", "major", _blocks("few", "few_size", p).alias("lows"), _blocks("below", "size", p).alias("highs"))
+    met = join_heavy(trie, per, ["node"], F.col("below") > heavy_above(rows))
+    left = met.where(F.col("cls") != F.col("major")).select(F.col("node").alias("group"), _deal("lows", 1).alias("lo"), _to("highs").alias("hi"), F.lit(0).alias("side"), "id", "cls")
+    right = met.select(F.col("node").alias("group"), _to("lows").alias("lo"), _deal("highs").alias("hi"), F.lit(1).alias("side"), "id", "cls")
+    return left.unionByName(right)
+
+
+def link_tiles(members: DataFrame, p: JoinParams) -> DataFrame:
+    """Tiles of all pairs of blocks of each class."""
+    sizes = members.groupBy("cls").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("size")).select("cls", "texts", _blocks("texts", "size", p).alias("blocks"))
+    rows = join_heavy(members, sizes, ["cls"], F.col("texts") > heavy_above(members.count())).select("id", "cls", "blocks", _deal("blocks").alias("block"), _to("blocks").alias("other"))
+    lo, hi = F.least("block", "other"), F.greatest("block", "other")
+    return rows.select(F.col("cls").alias("group"), lo.alias("lo"), hi.alias("hi"), (F.col("block") != lo).cast("int").alias("side"), "id", "cls")
+
+
+def shingle_sets(docs: DataFrame, texts: DataFrame, p: JoinParams) -> DataFrame:
+    """(id, copies, n, set) of each of the texts (rep, key, copies)."""
+    def sets(batches):
+        for pdf in batches:
+            own = [hashlib.blake2b((t or "").encode(), digest_size=16).digest() == bytes(k) for t, k in zip(pdf["text"], pdf["key"], strict=True)]
+            pdf = pdf[np.array(own, dtype=bool)]
+            found = [shingles(t, p.words).view(np.int64) for t in pdf["text"]]
+            yield pd.DataFrame({"id": pdf["id"], "copies": pdf["copies"], "n": [len(s) for s in found], "set": found})
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(texts.withColumnRenamed("rep", "id"), "id").select("id", "key", "copies", "text")
+    return rows.mapInPandas(sets, "id long, copies long, n long, set array<long>").dropDuplicates(["id"])
+
+
+def classes(docs: DataFrame, p: JoinParams, count: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key) of every row and (key, rep, copies, class_id, links) of every distinct text; links only if counted."""
+    with small_batches(docs.sparkSession):
+        return _classes(docs, p, count)
+
+
+def _classes(docs: DataFrame, p: JoinParams, count: bool) -> tuple[DataFrame, DataFrame]:
     signed = materialise(signatures(docs, p), "join-signed")
     texts = signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("trees").alias("trees"))
     texts = materialise(texts, "join-texts")
-    found = materialise(verified(docs, texts, p), "join-verified")
-    label = components(found.select(F.col("id").alias("a"), F.col("label").alias("b"))).withColumnRenamed("comp", "class_id")
-    links = found.groupBy("id").agg(F.sum("links").alias("linked"))
-    out = texts.select("key", "rep", "copies").join(links.withColumnRenamed("id", "rep"), "rep", "left").join(label.withColumnRenamed("id", "rep"), "rep", "left")
-    out = out.select("key", "rep", "copies", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    trie = materialise(prefix_tries(texts, p), "join-tries")
+    rows = trie.count()
+    cands = texts.join(trie.select("rep").distinct(), "rep").groupBy("rep").agg(F.min("key").alias("key"), F.sum("copies").alias("copies"))
+    sets = materialise(shingle_sets(docs, cands, p), "join-sets")
+    state = sets.select("id", "n", F.col("id").alias("cls"))
+    edges = None
+    for level in [*p.levels, 0]:
+        here = trie.join(state, F.col("rep") == F.col("id")).drop("rep")
+        tiles = star_tiles(here, level, rows, p) if level else open_tiles(here, p.matched, rows, p)
+        found = verified(tiles, sets, p).where(F.col("id") != F.col("label")).select(F.col("id").alias("a"), F.col("label").alias("b"))
+        found = materialise(found, "join-found")
+        if level == 0 and found.isEmpty():
+            break
+        edges = found if edges is None else edges.unionAll(found)
+        comps = materialise(components(edges), "join-classes")
+        state = sets.select("id", "n").join(comps, "id", "left").select("id", "n", F.coalesce("comp", "id").alias("cls"))
+    label = comps.select(F.col("id").alias("rep"), F.col("comp").alias("class_id"))
+    out = texts.select("key", "rep", "copies").join(label, "rep", "left").withColumn("class_id", F.coalesce("class_id", "rep"))
+    if not count:
+        return signed.select("doc_id", "key"), out
+    linked = materialise(verified(link_tiles(sets.select("id", "n").join(comps.withColumnRenamed("comp", "cls"), "id"), p), sets, p, True), "join-links")
+    links = linked.groupBy(F.col("id").alias("rep")).agg(F.sum("links").alias("linked"))
+    out = out.join(links, "rep", "left").select("key", "rep", "copies", "class_id", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("links"))
     return signed.select("doc_id", "key"), out
 
 
@@ -262,12 +350,15 @@ def join_similar(docs: DataFrame, params: JoinParams | None = None) -> DataFrame
 def drop_similar(docs: DataFrame, params: JoinParams | None = None) -> DataFrame:
     """The documents without those of which one of the same class and of smaller id stays, with their columns."""
     p = params or JoinParams()
-    result = materialise(join_similar(docs, p), "join-result")
+    signed, texts = classes(docs, p, count=False)
+    result = materialise(signed.join(texts.select("key", "class_id"), "key").select("doc_id", "class_id"), "join-result")
     gone = result.where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct()
     few = gone.limit(p.broadcast_ids + 1).count() <= p.broadcast_ids
-    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    again = result.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where(F.col("count") > 1).select("doc_id")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*columns)
+    again = result.groupBy("doc_id").count().where(F.col("count") > 1).select("doc_id")
     if again.isEmpty():
         return kept
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").select(*kept.columns).unionByName(once.select(*kept.columns))
+    row = F.struct(*columns)
+    once = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.md5(F.to_json(row).cast("binary"))).alias("row")).select("row.*")
+    return kept.join(again, "doc_id", "left_anti").select(*columns).unionByName(once.select(*columns))

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import class_rates, fold, labelled_sample, small_batches
+from .common import class_rates, fold, labelled_sample
 from .toxicity import platt
 
 FOLDS, HELD_OUT = 5, 0
@@ -123,7 +123,6 @@ def bradley_terry(good: np.ndarray, bad: np.ndarray, p: QualityParams, seed: int
 
 def fit_quality(docs: DataFrame, labels: DataFrame, params: QualityParams | None = None) -> QualityModel:
     p = params or QualityParams()
-    small_batches(docs.sparkSession)
     n0, n1 = class_rates(labels, "quality", FOLDS, HELD_OUT)
     prior = (n1 + 0.5) / (n0 + n1 + 1)
 

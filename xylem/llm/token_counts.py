@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, small_batches
+from .common import Cache
 
 MARK = "▁"
 UNKNOWN_COST = 10.0
@@ -106,5 +106,4 @@ def token_count(text: Column, path: str) -> Column:
 
 def count_tokens(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and n_tokens of every whole text."""
-    small_batches(docs.sparkSession)
     return docs.select("doc_id", token_count(F.col("text"), path).alias("n_tokens"))
