@@ -228,11 +228,74 @@ def test_media_round_trip(spark):
     assert jpeg.padded(b"") == b"\xff" * 576 and len(jpeg.padded(b"x" * 576)) == 576
 
 
-def test_general_scan_reads_stored_files():
-    media = jpeg.store(bytes(range(256)) * 9)
-    for head, scan in jpeg.frames(media):
-        byte = jpeg.read_fixed(scan).astype(int)
-        assert (jpeg.decode_scan(head, scan)[0].reshape(-1, 64) == np.where(byte >= 128, byte, byte - 255)).all()
+def test_both_loops_read_stored_files():
+    rng = np.random.default_rng(5)
+    payload = bytes(range(256)) * 9 + bytes(rng.choice([0, 127, 128, 128, 128, 128, 129, 255], 576 * 40).astype(np.uint8)) + b"\x80" * 576
+    payload += bytes(rng.integers(0, 256, -len(payload) % 576).astype(np.uint8))
+    heads = list(jpeg.images(jpeg.store(payload)))
+    scans = [jpeg.Scan(h) for h in heads]
+    step, one = jpeg.decode_in_step(scans), np.concatenate([jpeg.decode_by_code(s) for s in scans])
+    assert (step == one).all() and jpeg.bytes_of(one) == payload
+    assert sum(len(h["scans"]) for h in heads) == len(heads) and jpeg.Table(*jpeg.AC_CODES).bits.max() <= 16
+
+
+def test_many_payloads_are_encoded_alike():
+    rng = np.random.default_rng(7)
+    parts = [bytes(rng.integers(0, 256, 576 * n).astype(np.uint8)) for n in (1, 7, 1, 30)]
+    assert jpeg.encode(parts) == [jpeg.encode([p])[0] for p in parts] and [jpeg.load(m) for m in jpeg.encode(parts)] == parts
+
+
+def other_encoder(spark, pixels, kind=1, noise=0):
+    """A JPEG of another library's encoder: the JVM's. kind 1 is colour with halved chroma, 10 is grey."""
+    jvm, (rows, cols) = spark._jvm, pixels.shape
+    image = jvm.java.awt.image.BufferedImage(cols, rows, kind)
+    for y in range(rows):
+        for x in range(cols):
+            v = int(pixels[y, x])
+            if kind == 10:
+                image.getRaster().setSample(x, y, 0, v)
+            else:
+                image.setRGB(x, y, v << 16 | v << 8 | v)
+    out = jvm.java.io.ByteArrayOutputStream()
+    assert jvm.javax.imageio.ImageIO.write(image, "jpg", out)
+    return bytes(out.toByteArray())
+
+
+@pytest.mark.parametrize("kind", [1, 10])
+def test_files_of_another_encoder(spark, kind):
+    rng = np.random.default_rng(kind)
+    cells = rng.integers(30, 220, (5, 4))
+    pixels = np.clip(np.kron(cells, np.ones((8, 8))) + rng.integers(-9, 10, (40, 32)), 0, 255)[:37, :30]
+    (head, blocks), = jpeg.decode(other_encoder(spark, pixels, kind))
+    assert (head["width"], head["height"], len(head["parts"])) == (30, 37, 3 if kind == 1 else 1)
+    thumb = jpeg.dc_thumbnail(head, blocks)
+    whole = pixels[:32, :24].reshape(4, 8, 3, 8).mean((1, 3))
+    assert thumb.shape == (5, 4) and np.abs(thumb[:4, :3] - whole).max() < 4
+
+
+def test_one_scan_for_each_component(spark):
+    """A file of three scans is one picture; only the first component's scan is read."""
+    dc = np.array([[-100, 0, 100], [50, -50, 7]])
+    grey = gray_jpeg(dc)
+    at = grey.index(b"\xff\xc0")
+    sof = grey[at : at + 13]
+    three = jpeg._segment(0xC0, sof[4:9] + bytes([3, 1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0]))
+    scan = grey[grey.index(b"\xff\xda") : -2]
+    small = b"\xff\xda\x00\x08\x01\x02\x00\x00\x3f\x00" + bytes([0b00000000, 0b00111111])
+    data = grey[:at] + three + grey[at + 13 : grey.index(b"\xff\xda")] + scan + small + small.replace(b"\x01\x02\x00", b"\x01\x03\x00") + b"\xff\xd9"
+    (head, blocks), = jpeg.decode(data)
+    assert (head["width"], head["height"], len(head["scans"])) == (24, 16, 3) and (jpeg.dc_thumbnail(head, blocks) == 128 + dc).all()
+    row = jpeg.media_features(spark.createDataFrame([(bytearray(data),)], "media binary"), "media").first().jpeg
+    assert (row.width, row.height, row.frames, row.error) == (24, 16, 1, None)
+
+
+def test_long_scans_without_restarts_are_linear():
+    import time
+    rng = np.random.default_rng(2)
+    data = gray_jpeg(rng.integers(-120, 120, (500, 500)))
+    start = time.time()
+    (_, blocks), = jpeg.decode(data)
+    assert blocks.shape == (500, 500, 64) and time.time() - start < 10
 
 
 def gray_jpeg(dc):
