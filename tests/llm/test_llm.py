@@ -73,6 +73,20 @@ def test_url_templates_learn_and_merge(spark):
     assert url_filters.filter_urls(spark.createDataFrame([], "page_id long, url string"), queries.RULES).count() == 0
 
 
+def test_url_templates_have_no_last_level(spark):
+    """Paths of twelve segments that differ in the last alone are judged apart, and one of 300 segments ends early."""
+    head = "http://a.example.com/" + "/".join(f"s{c}" for c in "abcdefghij")
+    urls = [f"{head}/{k}/x{i}y" for i in range(40) for k in ("good", "bad")] + ["http://z.com/" + "q/" * 300]
+    rules = [url_filters.Rule("a.example.com", "/sa/sb/sc/sd/se/sf/sg/sh/si/sj/bad/x1", "block"), url_filters.Rule("a.example.com", "/sa/sb/sc/sd/se/sf/sg/sh/si/sj/good/x1", "allow")]
+    rows = url_filters.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()
+    for r in rows:
+        if r.host == "a.example.com":
+            bad = "/bad/" in r.path
+            assert r.template.endswith(("/bad/x{n}y" if bad else "/good/x{n}y").split("/x")[0] + "/x{n}y") and (r.verdict == "block") == bad
+        else:
+            assert r.template.count("/") == 300
+
+
 def equal_to_sql(spark, name, d, files=""):
     """The query's rows are those of its SQL, over the tables in folder d."""
     con = duckdb.connect()
@@ -96,7 +110,7 @@ def test_native_queries_equal_sql_on_odd_rows(spark, tmp_path):
     for k in range(900):
         host = rng.choice(["a.com", "a.com", "B.com", "c.example.org", "d.net"])
         part = lambda: rng.choice(["fr", "de", "item", f"p{rng.randrange(60)}", "2020-01-02", "0123abcd-0123-abcd-0123-0123456789ab", "deadbeef01", str(rng.randrange(10**6))])
-        urls.append(f"https://{host}/" + "/".join(part() for _ in range(rng.randrange(9))) + rng.choice(["", "?q=/de/", "#f", "/"]))
+        urls.append(f"https://{host}/" + "/".join(part() for _ in range(rng.choice([0, 1, 2, 3, 4, 5, 6, 8, 13]))) + rng.choice(["", "?q=/de/", "#f", "/"]))
     spark.createDataFrame([(k if k % 50 else None, u) for k, u in enumerate(urls)], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
     docs = table(spark, "documents").withColumn("source", F.when(F.col("doc_id") % 4 != 1, F.col("source"))).withColumn("text", F.when(F.col("doc_id") % 7 != 2, F.col("text")))
     docs.union(docs.limit(20)).write.parquet(f"{tmp_path}/documents.parquet")
@@ -360,6 +374,20 @@ def test_mix_meets_targets(spark):
     assert mixed.columns == docs.columns and mixed.count() == int((out.taken / out["size"].clip(lower=1)).sum())
 
 
+def test_ties_at_the_cut_are_parted(spark, tmp_path):
+    """Null and repeated ids: sources of one id with other texts, and of one id and text, are cut within one document."""
+    rows = [(None, "n" + " w" * (49 + i % 3), "a") for i in range(400)] + [(7, f"t{i} x y z", "b") for i in range(900)] + [(None, "the same row " * 9, "c") for _ in range(700)] + [(i, f"other {i}", None) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "x://a.com/b")], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    equal_to_sql(spark, "op4_mixing", str(tmp_path), "/*.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    out = mixing.mix_counts(docs).toPandas()
+    per = out.groupby("source_size").agg(taken=("taken", "sum"), target=("target", "first"), most=("size", "max"))
+    assert len(per) == 4 and ((per.taken - per.target).abs() <= per.most).all()
+    assert mixing.mix_documents(docs).count() == int((out.taken / out["size"].clip(lower=1)).sum())
+
+
 # 5 ------------------------------------------------------------------------------------------------------------------
 
 def test_shards_are_even_and_numbered(spark):
@@ -589,6 +617,24 @@ def test_large_components_stay_exact():
     assert topk.best_of(q, np.array([9]), c, np.array([1, 2]), 1, 4)[1].tolist() == [2]
 
 
+def test_scores_beyond_53_and_63_bits(spark):
+    df = lambda *v: spark.createDataFrame(list(enumerate(v)), "vec_id long, embedding array<double>")
+    p = topk.TopKParams(k=2)
+    big = float(1 << 24)
+    got = topk.top_k(df([big, 1.0], [big, 2.0], [-big, 0.0]), F.col("vec_id") == 0, p).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(1, (1 << 60) + 8192), (2, -(1 << 60))]
+    for far in (1e15, 1e18):
+        with pytest.raises(Exception, match="beyond 63 bits"):
+            topk.top_k(df([far], [far], [1.0]), F.col("vec_id") == 0, p).collect()
+
+
+def test_repeated_query_rows_and_clashing_columns(spark):
+    df = spark.createDataFrame([(20, [1.0], 5, 1)] * 3 + [(20, [2.0], 5, 1)] + [(i, [float(i)], 7, 2) for i in range(1, 4)] * 2, "vec_id long, embedding array<double>, score int, rank int")
+    got = topk.top_k(df, F.col("vec_id") % 20 == 0, topk.TopKParams(k=4)).orderBy("rank").collect()
+    assert [(r.query_id, r.rank, r.vec_id) for r in got] == [(20, 1, 3), (20, 2, 3), (20, 3, 2), (20, 4, 2)]
+    assert topk.top_k(df.where("false"), F.col("vec_id") % 20 == 0).count() == 0
+
+
 # Odd rows and the pipeline ------------------------------------------------------------------------------------------
 
 OPERATORS = {

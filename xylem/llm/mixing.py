@@ -3,15 +3,16 @@
 Each source gets a target number of words (water-filling by weight under a ceiling of `most` times its size).
 Within a source, documents of size class k = floor(log2(size)) expect min(most, c * 2**(-k * tilt)) copies, c being
 such that the expected words meet the target. The whole part of that number is taken for certain; the fraction is
-the document's inclusion probability p. Documents are ranked by (u / (1 - u)) / (p / (1 - p)), u a hash of
-their id, and taken in that order until the source's words are met: a sample of fixed size, counted in words.
+the document's inclusion probability p. Documents are ranked by (u / (1 - u)) / (p / (1 - p)), u made of a digest of
+their id and text, and taken in that order until the source's words are met: a sample of fixed size, counted in words.
 
-The cut is found by a histogram of ranks (2**16 bins a source) and a window over the one bin that holds it,
-so that no task sees a whole source. Its result is one threshold per source; the last pass is a map.
+The cut is found by a histogram of ranks (2**16 bins a source) and a window over the distinct (id, text) of the one bin
+that holds it, so that no task sees a whole source. Its result is one threshold per source; the last pass is a map.
+Only where the cut falls among rows of one id and text, however many, those rows are numbered, by input partition.
 
 Nulls and odd rows: a null text has size 0; documents of size 0 are never taken; a null source is a source,
-last in order; a null id ranks as an empty one; equal rows share their rank and are taken or left together;
-an empty table gives an empty result. Columns of the input that aren't named here pass through `mix_documents`.
+last in order; a null id ranks as an empty one; rows of one id with other texts rank apart; of rows of one id and text as
+many are taken as meet the target (which of them, if other columns differ, is not defined); an empty table gives an empty result. Columns of the input that aren't named here pass through `mix_documents`.
 """
 
 from __future__ import annotations
@@ -65,13 +66,15 @@ def size_class(size: Column) -> Column:
     return F.floor(F.log2(F.greatest(size, F.lit(1)).cast("double"))).cast("int")
 
 
-def _rank(p: MixParams, doc_id: Column, chance: Column) -> Column:
-    """The Pareto ranking variable; null where a document can't be in the sample.
+def _tag(p: MixParams, doc_id: Column, text: Column) -> Column:
+    """A digest of id, seed and text, which other engines can compute alike."""
+    inner = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f":{p.seed}:"), inner).cast("binary"))
 
-    u is made of the first 52 bits of a digest of id and seed, which other engines can compute alike.
-    """
-    digest = F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f":{p.seed}")).cast("binary"))
-    u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+
+def _rank(tag: Column, chance: Column) -> Column:
+    """The Pareto ranking variable; null where a document can't be in the sample. u is the tag's first 52 bits."""
+    u = (F.conv(F.substring(tag, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     return F.when(chance > 0, (u / (1 - u)) / (chance / F.greatest(1 - chance, F.lit(1e-12))))
 
 
@@ -98,8 +101,8 @@ def mix_plan(sizes: DataFrame, p: MixParams) -> DataFrame:
     classes = materialise(classes.select("source", "cls", "source_size", "target", "certain", "chance", "_s"), "mix-classes")
     left = classes.groupBy("source").agg((F.first("target") - F.sum(F.col("certain") * F.col("_s"))).alias("left"))
 
-    ranked = with_plan(sizes, classes.withColumnsRenamed({c: f"_{c}" for c in classes.columns}), p).where(F.col("_rank").isNotNull() & (F.col("size") > 0))
-    ranked = ranked.select("source", "size", "_id", "_rank", F.floor(F.col("_rank") / (1 + F.col("_rank")) * p.bins).cast("int").alias("bin"))
+    ranked = with_plan(sizes, classes.withColumnsRenamed({c: f"_{c}" for c in classes.columns})).where(F.col("_rank").isNotNull() & (F.col("size") > 0))
+    ranked = ranked.select("source", "size", "_tag", "_rank", _bin(p).alias("bin"))
     bins = ranked.groupBy("source", "bin").agg(F.sum("size").alias("words"))
     running = F.sum("words").over(W.partitionBy("source").orderBy("bin"))
     bins = by_source(bins.withColumn("after", running), left)
@@ -107,34 +110,50 @@ def mix_plan(sizes: DataFrame, p: MixParams) -> DataFrame:
         F.min("bin").alias("bin"), F.min_by(F.col("left") - (F.col("after") - F.col("words")), "bin").alias("rest"))
     cut = materialise(cut, "mix-cut")
     inside = by_source(ranked, cut.withColumnRenamed("bin", "_at")).where(F.col("bin") == F.col("_at"))
-    w = W.partitionBy("source").orderBy("_rank", "_id").rowsBetween(W.unboundedPreceding, W.currentRow)
-    inside = inside.withColumn("_sum", F.sum("size").over(w)).where(F.col("_sum") - F.col("size") / 2 <= F.col("rest"))
-    last = inside.groupBy("source").agg(F.max(F.struct("_rank", "_id")).alias("last"))
+    inside = inside.groupBy("source", "_rank", "_tag", "size", "rest").agg(F.count(F.lit(1)).alias("rows"))
+    w = W.partitionBy("source").orderBy("_rank", "_tag").rowsBetween(W.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.col("rows") * F.col("size")).over(w), F.lit(0))
+    inside = inside.withColumn("fit", F.least(F.floor((F.col("rest") - before) / F.col("size") + 0.5), F.col("rows"))).where(F.col("fit") >= 1)
+    last = inside.groupBy("source").agg(F.max(F.struct("_rank", "_tag", "fit", "rows")).alias("last"))
+    last = last.select("source", F.struct("last._rank", "last._tag").alias("last"), F.col("last.fit").alias("fit"), F.col("last.rows").alias("rows"))
     ends = by_source(cut.select("source", F.col("bin").alias("cut_bin")), last, "left")
     plan = by_source(classes.drop("_s"), ends, "left")
     return materialise(plan.withColumnsRenamed({c: f"_{c}" for c in plan.columns}), "mix-plan")
 
 
-def with_plan(df: DataFrame, plan: DataFrame, p: MixParams) -> DataFrame:
-    """Joins the plan's few rows to documents with a `size` column and ranks them."""
+def _bin(p: MixParams) -> Column:
+    return F.floor(F.col("_rank") / (1 + F.col("_rank")) * p.bins).cast("int")
+
+
+def with_plan(df: DataFrame, plan: DataFrame) -> DataFrame:
+    """Joins the plan's few rows to documents with `size` and `_tag` and ranks them."""
     out = df.join(plan, df["source"].eqNullSafe(plan["_source"]) & (size_class(df["size"]) == plan["_cls"]))
-    out = out.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    return out.withColumn("_rank", _rank(p, F.col("doc_id"), F.col("_chance")))
+    return out.withColumn("_rank", _rank(F.col("_tag"), F.col("_chance")))
 
 
 def with_copies(df: DataFrame, plan: DataFrame, p: MixParams) -> DataFrame:
     """Adds `_copies`: how often each document is taken."""
-    out = with_plan(df, plan, p)
-    bin_ = F.floor(F.col("_rank") / (1 + F.col("_rank")) * p.bins).cast("int")
-    inside = (bin_ == F.col("_cut_bin")) & F.coalesce(F.struct("_rank", "_id") <= F.col("_last"), F.lit(False))
-    taken = F.col("_rank").isNotNull() & (F.col("_cut_bin").isNull() | (bin_ < F.col("_cut_bin")) | inside)
-    return out.withColumn("_copies", F.when(F.col("size") > 0, F.col("_certain") + taken.cast("int")).otherwise(0))
+    out, here = with_plan(df, plan), F.struct("_rank", "_tag")
+    at_cut = F.col("_rank").isNotNull() & (F.col("size") > 0) & (_bin(p) == F.col("_cut_bin"))
+    parted = F.coalesce(at_cut & (here == F.col("_last")) & (F.col("_fit") < F.col("_rows")), F.lit(False))
+    taken = F.col("_rank").isNotNull() & (F.col("_cut_bin").isNull() | (_bin(p) < F.col("_cut_bin")) | (at_cut & F.coalesce(here <= F.col("_last"), F.lit(False))))
+    copies = F.when(F.col("size") > 0, F.col("_certain") + taken.cast("int")).otherwise(0)
+    if plan.where("_fit < _rows").isEmpty():
+        return out.withColumn("_copies", copies)
+    tied = materialise(out.where(parted).withColumn("_part", F.spark_partition_id()), "mix-ties")
+    parts = tied.groupBy("_source", "_part").agg(F.count(F.lit(1)).alias("_here"))
+    before = F.coalesce(F.sum("_here").over(W.partitionBy("_source").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(F.col("_source").alias("_s"), F.col("_part").alias("_p"), before.alias("_before"))
+    number = F.row_number().over(W.partitionBy("_source", "_part").orderBy("_tag"))
+    tied = tied.withColumn("_number", number).join(parts, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_part") == F.col("_p")))
+    tied = tied.withColumn("_copies", F.col("_certain") + (F.col("_number") + F.col("_before") <= F.col("_fit")).cast("int"))
+    return out.where(~parted).withColumn("_copies", copies).unionByName(tied.select(*out.columns, "_copies"))
 
 
 def mix_counts(docs: DataFrame, params: MixParams | None = None) -> DataFrame:
     """doc_id, size, source_size, target and taken of every document."""
     p = params or MixParams()
-    sizes = materialise(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    sizes = materialise(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _tag(p, F.col("doc_id"), F.col("text")).alias("_tag")), "mix-sizes")
     out = with_copies(sizes, mix_plan(sizes, p), p)
     return out.select("doc_id", "size", F.col("_source_size").cast("long").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("size")).cast("long").alias("taken"))
 
@@ -142,8 +161,8 @@ def mix_counts(docs: DataFrame, params: MixParams | None = None) -> DataFrame:
 def mix_documents(docs: DataFrame, params: MixParams | None = None) -> DataFrame:
     """The mix itself: each document as often as it is taken, with all its columns."""
     p = params or MixParams()
-    sizes = materialise(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    sizes = materialise(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _tag(p, F.col("doc_id"), F.col("text")).alias("_tag")), "mix-sizes")
     plan = mix_plan(sizes, p)
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), "doc_id", "source", word_count(F.col("text")).alias("size"))
+    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), "source", word_count(F.col("text")).alias("size"), _tag(p, F.col("doc_id"), F.col("text")).alias("_tag"))
     out = with_copies(inner, plan, p).where(F.col("_copies") > 0)
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_doc.*")

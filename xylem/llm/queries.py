@@ -71,29 +71,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
-def _level_sql(level: int) -> str:
-    """One level of the template tree: children's counts, their siblings' counts, and what each child becomes."""
-    return f"""
-        c{level} AS MATERIALIZED (
-          SELECT host, template, shape[{level + 1}] AS part, sum(n) AS n, sum(lab) AS lab, sum(blk) AS blk
-          FROM n{level} WHERE shape[{level + 1}] IS NOT NULL GROUP BY 1, 2, 3
-        ), s{level} AS MATERIALIZED (
-          SELECT *, count(*) OVER p AS k, sum(n) OVER p AS p_n, sum(blk) OVER p / CAST(greatest(sum(lab) OVER p, 1) AS DOUBLE) AS rate
-          FROM c{level} WINDOW p AS (PARTITION BY host, template)
-        ), t{level} AS MATERIALIZED (
-          SELECT host, template, part,
-                 CASE WHEN k > 1 AND ((k > 32 AND n < 0.05::DOUBLE * p_n)
-                        OR abs(blk - rate * lab) * abs(blk - rate * lab) <= 4 * greatest(rate * (1 - rate), 0.01::DOUBLE) * lab)
-                      THEN '*' ELSE part END AS chosen
-          FROM s{level}
-        ), n{level + 1} AS MATERIALIZED (
-          SELECT n.host, n.shape, n.template || coalesce('/' || t.chosen, '') AS template, n.n, n.lab, n.blk
-          FROM n{level} n LEFT JOIN t{level} t ON t.host = n.host AND t.template = n.template AND t.part = n.shape[{level + 1}]
-        ),"""
-
-
 URL_SQL = r"""
-        WITH u AS (
+        WITH RECURSIVE u AS (
           SELECT page_id,
                  coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
                  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
@@ -109,18 +88,30 @@ URL_SQL = r"""
         ), j AS MATERIALIZED (
           SELECT page_id, host, path, rule,
                  CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS verdict,
-                 list_concat(list_transform(seg[1:6], lambda x:
+                 list_transform(seg, lambda x:
                    CASE WHEN regexp_full_match(x, '[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}') THEN '{uuid}'
                         WHEN regexp_full_match(x, '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN '{date}'
                         WHEN regexp_full_match(x, '[0-9a-fA-F]{8,}') AND regexp_matches(x, '[0-9]') AND regexp_matches(x, '[a-fA-F]') THEN '{hex}'
-                        ELSE regexp_replace(x, '[0-9]+', '{n}', 'g') END),
-                   CASE WHEN len(seg) > 6 THEN ['**'] ELSE [] END) AS shape
+                        ELSE regexp_replace(x, '[0-9]+', '{n}', 'g') END) AS shape
           FROM r
         ), n0 AS MATERIALIZED (
-          SELECT host, shape, '' AS template, count(*) AS n, count(verdict) AS lab, count(*) FILTER (verdict = 'block') AS blk FROM j GROUP BY 1, 2
-        ),""" + "".join(_level_sql(level) for level in range(7)) + """
+          SELECT host, shape, count(*) AS n, count(verdict) AS lab, count(*) FILTER (verdict = 'block') AS blk FROM j GROUP BY 1, 2
+        ), grown AS (  -- level by level: a row's next segment, its node's and its siblings' counts, and what the segment becomes
+          SELECT host, shape, '' AS template, n, lab, blk, 0 AS level FROM n0
+          UNION ALL
+          SELECT host, shape, template || '/' || CASE
+                   WHEN k > 1 AND ((k > 32 AND n_part < 0.05::DOUBLE * n_all)
+                        OR abs(blk_part - rate * lab_part) * abs(blk_part - rate * lab_part) <= 4 * greatest(rate * (1 - rate), 0.01::DOUBLE) * lab_part)
+                   THEN '*' ELSE part END, n, lab, blk, level + 1
+          FROM (
+            SELECT *, count(DISTINCT part) OVER a AS k, sum(n) OVER a AS n_all, sum(n) OVER c AS n_part, sum(lab) OVER c AS lab_part, sum(blk) OVER c AS blk_part,
+                   sum(blk) OVER a / CAST(greatest(sum(lab) OVER a, 1) AS DOUBLE) AS rate
+            FROM (SELECT *, shape[level + 1] AS part FROM grown WHERE level < len(shape))
+            WINDOW a AS (PARTITION BY host, template), c AS (PARTITION BY host, template, part)
+          )
+        ), done AS MATERIALIZED (SELECT * FROM grown WHERE level = len(shape)),
         per AS (
-          SELECT host, template, sum(lab) AS lab, sum(blk) AS blk FROM n7 GROUP BY 1, 2
+          SELECT host, template, sum(lab) AS lab, sum(blk) AS blk FROM done GROUP BY 1, 2
         ), h AS (
           SELECT host, (sum(blk) + 5.0::DOUBLE * (SELECT (sum(blk) + 1) / CAST(sum(lab) + 2 AS DOUBLE) FROM per)) / (sum(lab) + 5.0::DOUBLE) AS purity_h
           FROM per GROUP BY 1
@@ -130,15 +121,15 @@ URL_SQL = r"""
         SELECT page_id, j.host, path, rule, coalesce(verdict, CASE WHEN purity >= 0.7::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict,
                CASE WHEN q.template = '' THEN '/' ELSE q.template END AS template,
                CAST(q.lab AS BIGINT) AS labelled, CAST(q.blk AS BIGINT) AS blocked, round(purity, 6) AS purity
-        FROM j JOIN n7 ON n7.host = j.host AND n7.shape = j.shape JOIN q ON q.host = n7.host AND q.template = n7.template
+        FROM j JOIN done ON done.host = j.host AND done.shape = j.shape JOIN q ON q.host = done.host AND q.template = done.template
 """
 
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filters": URL_SQL,
     "op4_mixing": r"""
         WITH d AS MATERIALIZED (
-          SELECT doc_id, source, size, CAST(floor(log2(greatest(size, 1))) AS INTEGER) AS cls, coalesce(CAST(doc_id AS VARCHAR), '') AS id
-          FROM (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents)
+          SELECT doc_id, source, size, CAST(floor(log2(greatest(size, 1))) AS INTEGER) AS cls, tag
+          FROM (SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':17:' || md5(coalesce(text, ''))) AS tag, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents)
         ), p AS (
           SELECT source, CAST(sum(size) AS DOUBLE) AS s, [3.0::DOUBLE, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY 1
         ), l AS (
@@ -167,10 +158,10 @@ ORACLE_SQL: dict[str, str] = {
         ), g AS (
           SELECT d.*, f.source_size, f.target, f.certain, f.rest,
                  CASE WHEN chance > 0 AND size > 0 THEN (u / (1 - u)) / (chance / greatest(1 - chance, 1e-12)) END AS rank
-          FROM (SELECT *, (CAST(CAST('0x' || substr(md5(id || ':17'), 1, 13) AS UBIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0::DOUBLE AS u FROM d) d
+          FROM (SELECT *, (CAST(CAST('0x' || substr(tag, 1, 13) AS UBIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0::DOUBLE AS u FROM d) d
           JOIN f ON d.source IS NOT DISTINCT FROM f.source AND d.cls = f.cls
         ), h AS (  -- each source's documents in order of rank, up to its target
-          SELECT *, sum(size) FILTER (rank IS NOT NULL) OVER (PARTITION BY source ORDER BY rank NULLS LAST, id ROWS UNBOUNDED PRECEDING) AS after FROM g
+          SELECT *, sum(size) FILTER (rank IS NOT NULL) OVER (PARTITION BY source ORDER BY rank NULLS LAST, tag ROWS UNBOUNDED PRECEDING) AS after FROM g
         )
         SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
                CAST(CASE WHEN size > 0 THEN size * (certain + CASE WHEN rank IS NOT NULL AND after - size / 2.0 <= rest THEN 1 ELSE 0 END) ELSE 0 END AS BIGINT) AS taken

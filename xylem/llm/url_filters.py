@@ -1,6 +1,7 @@
 """URL filters by a path-template tree. DataFrame functions only: no Python runs on executors.
 
-Every URL is cut into a host and path segments. Per host, a tree of path templates grows level by level:
+Every URL is cut into a host and path segments. Per host, a tree of path templates grows level by level, as deep as
+the paths go; a path that is alone below its node ends there, since nothing more can be told from it:
 1. segments of a variable shape (numbers, hex strings, dates, UUIDs) become placeholders;
 2. a node with very many distinct children turns its rare children into ``*``;
 3. children whose labelled block rate can't be told from that of their siblings are merged into ``*``.
@@ -8,7 +9,8 @@ Rows that a rule judges are the labels. A template is rejected if its blocked sh
 smoothed towards its host's and the host's towards the corpus's, reaches `reject_at`.
 
 URLs are first reduced to distinct (host, shape) rows with counts, by partial aggregation, so that a host
-with a third of all rows costs as many rows as it has distinct shapes. Joins on a host are salted.
+with a third of all rows costs as many rows as it has distinct shapes. Joins on a node are salted by segment, and
+the shapes of very many rows are joined to them by broadcast (at most 10,000 can be that frequent).
 
 Nulls and odd rows: a null URL or one without ``://`` has an empty host and path, template ``/`` and no rule.
 An empty table gives an empty result; repeated rows are judged alike and each is returned; further columns
@@ -18,11 +20,12 @@ of the input are ignored.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, salts
+from .common import heavy_above, join_heavy, materialise, salts
 
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -43,7 +46,6 @@ class Rule:
 
 @dataclass(frozen=True)
 class TemplateParams:
-    depth: int = 6  # levels of the tree; what lies deeper is one tail placeholder
     fan_out: int = 32  # children beyond which rare ones are generalised
     rare_share: float = 0.05  # of the parent's rows
     z: float = 2.0  # standard errors within which two block rates count as alike
@@ -77,11 +79,9 @@ def segment_shape(segment: Column) -> Column:
     return F.regexp_replace(shape, r"\d+", "{n}")
 
 
-def shapes_of(path: Column, depth: int) -> Column:
-    """The first `depth` segments as shapes; a last element stands for any deeper tail."""
-    segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    head = F.transform(F.slice(segments, 1, depth), segment_shape)
-    return F.when(F.size(segments) > depth, F.concat(head, F.array(F.lit("**")))).otherwise(head)
+def shapes_of(path: Column) -> Column:
+    """All segments as shapes."""
+    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), segment_shape)
 
 
 def _grow(nodes: DataFrame, level: int, p: TemplateParams) -> DataFrame:
@@ -107,13 +107,23 @@ def _grow(nodes: DataFrame, level: int, p: TemplateParams) -> DataFrame:
 
 
 def learn_templates(pages: DataFrame, p: TemplateParams) -> DataFrame:
-    """(host, shape, template, reject) for every distinct (host, shape) of (host, shape, verdict) rows."""
+    """(host, shape, template, n, reject and its grounds) for every distinct (host, shape) of (host, shape, verdict) rows."""
     nodes = pages.groupBy("host", "shape").agg(
         F.count(F.lit(1)).alias("n"), F.count("verdict").alias("lab"), F.count_if(F.col("verdict") == "block").alias("blk"),
     ).select("host", "shape", F.lit("").alias("template"), "n", "lab", "blk")
-    nodes = materialise(nodes, "url-nodes")
-    for level in range(p.depth + 1):
-        nodes = materialise(_grow(nodes, level, p), f"url-level{level}")
+    nodes = growing = materialise(nodes, "url-nodes")
+    done, level = [nodes.where(F.size("shape") == 0)], 0
+    growing = growing.where(F.size("shape") > 0)
+    while not growing.isEmpty():
+        grown = materialise(_grow(growing, level, p), "url-level")
+        level += 1
+        tail = F.concat("template", F.lit("/"), F.array_join(F.slice("shape", level + 1, F.greatest(F.size("shape") - level, F.lit(1))), "/"))
+        deeper = F.size("shape") > level
+        below = grown.where(deeper).groupBy("host", "template").agg(F.count(F.lit(1)).alias("below")).where("below > 1").select("host", "template")
+        growing = materialise(grown.where(deeper).join(below, ["host", "template"], "left_semi"), "url-growing")
+        done.append(grown.where(~deeper))
+        done.append(grown.where(deeper).join(below, ["host", "template"], "left_anti").withColumn("template", tail))
+    nodes = materialise(reduce(DataFrame.unionByName, done), "url-templates")
     per = nodes.groupBy("host", "template").agg(F.sum("lab").alias("lab"), F.sum("blk").alias("blk"))
     host = per.groupBy("host").agg(F.sum("lab").alias("h_lab"), F.sum("blk").alias("h_blk"))
     whole = host.agg(F.sum("h_lab").alias("a_lab"), F.sum("h_blk").alias("a_blk")).first()
@@ -122,19 +132,17 @@ def learn_templates(pages: DataFrame, p: TemplateParams) -> DataFrame:
     purity = (F.col("blk") + p.smoothing * F.col("purity_h")) / (F.col("lab") + p.smoothing)
     judged = per.join(host.select("host", purity_h.alias("purity_h")), "host").select(
         "host", "template", "lab", "blk", purity.alias("purity"), (purity >= p.reject_at).alias("reject"))
-    return nodes.select("host", "shape", "template").join(judged, ["host", "template"])
+    return nodes.select("host", "shape", "template", "n").join(judged, ["host", "template"])
 
 
 def filter_urls(pages: DataFrame, rules: list[Rule], params: TemplateParams | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, template, labelled, blocked and purity of every row of pages."""
     p = params or TemplateParams()
     cut = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    cut = cut.withColumn("judged", match_rule(F.col("host"), F.col("path"), rules)).withColumn("shape", shapes_of(F.col("path"), p.depth))
+    cut = cut.withColumn("judged", match_rule(F.col("host"), F.col("path"), rules)).withColumn("shape", shapes_of(F.col("path")))
     cut = cut.select("page_id", "host", "path", "shape", F.col("judged.rule").alias("rule"), F.col("judged.verdict").alias("verdict"))
-    learned = learn_templates(cut, p)
-    salted = learned.withColumn("salt", salts(p.salts))
-    rows = cut.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(p.salts)))
-    out = rows.join(salted, ["host", "shape", "salt"])
+    learned = materialise(learn_templates(cut, p), "url-learned")
+    out = join_heavy(cut, learned, ["host", "shape"], F.col("n") > heavy_above(pages.count()))
     return out.select(
         "page_id", "host", "path", "rule",
         F.coalesce("verdict", F.when(F.col("reject"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
