@@ -221,6 +221,30 @@ def test_folds_follow_the_contract(spark):
         assert all(r.held_out == (crc32(str(r.doc_id).encode()) % of == out) and r.predicted == int(r.score >= 0.3) and 0 <= r.score <= 1 for r in df.collect())
 
 
+def test_bradley_terry_is_the_least_loss():
+    """The weights equal those that plain gradient descent finds on the loss written out pair by pair."""
+    rng = np.random.default_rng(0)
+    good, bad, p = rng.normal(0.5, 1, (40, 3)), rng.normal(-0.5, 1, (30, 3)), quality.QualityParams(l2=0.01)
+    w = quality.bradley_terry(good, bad, p)
+    pick = np.random.default_rng(5)
+    n = 40 * p.pairs
+    pairs = list(zip(good[pick.integers(0, 40, n)], bad[pick.integers(0, 30, n)]))
+    v = np.zeros(3)
+    for _ in range(400):
+        v -= (sum(-(a - b) / (1 + np.exp((a - b) @ v)) for a, b in pairs) / n + p.l2 * v)
+    assert np.abs(w - v).max() < 1e-3
+
+
+def test_cut_is_a_quantile_of_all_scores(spark):
+    counts = np.array([5, 5, 0, 0, 0, 40, 50] + [0] * 93, float)
+    assert 2 <= quality.quantile_cut(counts, 0.1, 0.02, blur=1) <= 5 and quality.quantile_cut(counts, 0.0, 0.0, blur=1) == 0
+    share, error = quality.bad_share(np.array([0.0, 1, 2, 3, 4, 5, 6, 7]), np.array([0, 0, 1, 1, 0, 1, 1, 1]), np.ones(8))
+    assert share == 0.25 and error > 0
+    out = quality.score_quality(table(spark, "documents", CHECK), table(spark, "labels", CHECK)).toPandas()
+    labels = table(spark, "labels", CHECK).toPandas()
+    assert abs((out.predicted == 0).mean() - (labels.quality == 0).mean()) < 0.06
+
+
 def test_bradley_terry_orders_pairs():
     rng = np.random.default_rng(0)
     good, bad = rng.normal(1, 1, (300, 3)), rng.normal(-1, 1, (300, 3))
@@ -401,11 +425,85 @@ def test_shards_are_even_and_numbered(spark):
 
 
 def test_hot_copies_are_split(spark):
-    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "the same text in a third of all rows").otherwise(F.concat(F.lit("text of row number "), F.col("id"), F.lit(" and more"))).alias("text"), F.lit("en").alias("lang"))
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "the same text in a third of all rows").otherwise(F.concat(F.lit("text of row number "), F.col("id"), F.lit(" and more"))).alias("text"), F.lit("en").alias("lang"), F.lit(None).cast("string").alias("source"))
     per = sharding.shard_documents(docs).groupBy("shard").agg(F.sum("size").alias("b")).toPandas().b
     assert len(per) == 24 and per.max() < 1.1 * per.mean() and per.min() > 0.9 * per.mean()
 
 
+def brute_tree(docs, p):
+    """Shard of each text (heavy ones by id hash aside), by sorting each node's groups."""
+    total = sum(len((t or "").encode()) + 8 for _, t, _, _ in docs)
+    groups = {}
+    for _, t, lang, source in docs:
+        g = groups.setdefault(t or "", {"bytes": 0, "lang": [], "source": []})
+        g["bytes"] += len((t or "").encode()) + 8
+        g["lang"].append(lang or "")
+        g["source"].append(source or "")
+    for c in ("lang", "source"):
+        size = {}
+        for g in groups.values():
+            g[c] = min(g[c])
+            size[g[c]] = size.get(g[c], 0) + g["bytes"]
+        at = 0
+        for v in sorted(size, key=lambda v: (-size[v], v)):
+            for g in groups.values():
+                if g[c] == v:
+                    g[f"d_{c}"] = int((at + size[v] / 2) / total * 65535)
+            at += size[v]
+    for t, g in groups.items():
+        n = len(t.encode())
+        g["d_size"] = int(min(np.log2(n + 1) * 1638, 65535))
+        g["d_script"] = int((n - len(t)) / n * 65535) if n else 0
+    whole, out = {}, {}
+
+    def split(texts, first, k):
+        if k == 1 or not texts:
+            out.update(dict.fromkeys(texts, first))
+            return
+        wide = {d: max(groups[t][d] for t in texts) - min(groups[t][d] for t in texts) for d in sharding.DIMS}
+        if not whole:
+            whole.update(wide)
+        dim = max(sharding.DIMS, key=lambda d: (wide[d] / max(1, whole[d]), -sharding.DIMS.index(d)))
+        texts = sorted(texts, key=lambda t: (groups[t][dim], keys[t] % (1 << 64) >> 32))
+        ends = np.cumsum([groups[t]["bytes"] for t in texts])
+        goal = ends[-1] * (k // 2) / k
+        at = int((ends >= goal).argmax())
+        under, over = goal - (ends[at] - groups[texts[at]]["bytes"]), ends[at] - goal
+        cut = at if under <= over else at + 1
+        split(texts[:cut], first, k // 2)
+        split(texts[cut:], first + k // 2, k - k // 2)
+
+    keys = docs.keys
+    split(list(groups), 0, p.shards)
+    return out
+
+
+def test_tree_equals_brute_force(spark):
+    docs = table(spark, "documents", CHECK).withColumn("source", F.when(F.col("doc_id") % 5 != 0, F.col("source"))).withColumn("lang", F.when(F.col("doc_id") % 7 != 0, F.col("lang")))
+    p = sharding.ShardParams(slack=0.0, whole=10.0)
+
+    class Rows(list):
+        keys = {r.text: r.key for r in docs.select(F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("key")).collect()}
+    rows = Rows(tuple(r) for r in docs.select("doc_id", "text", "lang", "source").collect())
+    want, text = brute_tree(rows, p), {r[0]: r[1] for r in rows}
+    got = {r.doc_id: r.shard for r in sharding.shard_documents(docs, p).collect()}
+    assert got == {i: want[t or ""] for i, t in text.items()} and len(set(got.values())) == 24
+
+
+def test_shards_are_cut_by_metadata(spark):
+    meta = sharding.metadata(table(spark, "documents", CHECK))
+    groups = sharding.text_groups(meta, 1e9, sharding.ShardParams())
+    root, used = sharding.build_tree(groups, 1.0, sharding.ShardParams()), set()
+
+    def walk(n):
+        if n.children:
+            used.add(n.dim)
+            for c in n.children:
+                walk(c)
+    walk(root)
+    assert len(used) >= 3 and used <= set(sharding.DIMS)
+
+
 # 6 ------------------------------------------------------------------------------------------------------------------
 
 def brute_join(rows, t=0.8):

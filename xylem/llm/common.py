@@ -79,19 +79,21 @@ def text_bytes(text: Column) -> Column:
     return F.encode(F.coalesce(text, F.lit("")), "UTF-8")
 
 
+def known_labels(labels: DataFrame, label: str, folds: int, held_out: int) -> DataFrame:
+    """(doc_id, label) outside the held-out fold. Labels that are null or not 0/1, and those of a null id, are none; an id
+    with several rows keeps its largest label."""
+    known = labels.select(F.col("doc_id"), F.col(label).cast("int").alias("label"))
+    known = known.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (fold(F.col("doc_id"), folds) != held_out))
+    return known.groupBy("doc_id").agg(F.max("label").alias("label"))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, per_class: int) -> DataFrame:
-    """(doc_id, text, label): at most per_class labelled rows of each class outside the held-out fold.
+    """(doc_id, text, label): at most per_class known labels of each class with their texts.
 
     The rows of smallest hash are taken, from the label table alone; the bounded id list is then broadcast,
-    so that the corpus is read once and not shuffled. Labels that are null or not 0/1 are no labels.
-    A document with several rows in the label table keeps its largest label.
+    so that the corpus is read once and not shuffled.
     """
-    known = (
-        labels.select(F.col("doc_id"), F.col(label).cast("int").alias("label"))
-        .where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (fold(F.col("doc_id"), folds) != held_out))
-        .groupBy("doc_id").agg(F.max("label").alias("label"))
-        .withColumn("order", F.xxhash64("doc_id"))
-    )
+    known = known_labels(labels, label, folds, held_out).withColumn("order", F.xxhash64("doc_id"))
     sides = [known.where(F.col("label") == y).orderBy("order", "doc_id").limit(per_class) for y in (0, 1)]
     ids = sides[0].unionAll(sides[1]).select("doc_id", "label")
     text = docs.select("doc_id", "text").where(fold(F.col("doc_id"), folds) != held_out)
@@ -99,11 +101,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
 
 
 def class_rates(labels: DataFrame, label: str, folds: int, held_out: int) -> tuple[int, int]:
-    """Rows of label 0 and 1 in the training folds."""
-    found = (
-        labels.where(fold(F.col("doc_id"), folds) != held_out)
-        .agg(F.count_if(F.col(label) == 0).alias("n0"), F.count_if(F.col(label) == 1).alias("n1")).first()
-    )
+    """Known labels of 0 and 1."""
+    found = known_labels(labels, label, folds, held_out).agg(F.count_if(F.col("label") == 0).alias("n0"), F.count_if(F.col("label") == 1).alias("n1")).first()
     return int(found["n0"] or 0), int(found["n1"] or 0)
 
 

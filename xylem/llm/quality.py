@@ -1,11 +1,13 @@
 """Document quality by Bradley-Terry pairwise ranking.
 
 Pairs of a good and a bad labelled document are preferences. A score linear in dense text features is learnt by
-logistic loss on the feature differences of the pairs; the cut is the quantile of the training scores that leaves
-out the labelled share of bad documents. Scores are brought to 0..1 so that the cut lies at the threshold.
+logistic loss on the feature differences of the pairs. The cut is a quantile of the scores of all documents, from a
+histogram: that of the share of bad documents. The share is that of labelled rows below the place of least misjudged
+label weight, so that mislabelled rows don't add to it; it is known to two standard errors, and between the quantiles
+of its bounds the cut falls where scores are least dense. Scores are brought to 0..1 so that the cut lies at the threshold.
 
 Bounds: at most `per_class` labelled rows of either class, outside the held-out fold, come to the driver, as some
-thirty numbers each, and `pairs` preferences for each of them.
+thirty numbers each, and `pairs` preferences for each of them; of all other scores a histogram of `bins` counts.
 
 Nulls and odd rows: a null text counts as empty, and an empty text has features of zeros; long texts are measured
 whole; equal texts score alike; without labels of both classes the score is the constant label rate; an empty table
@@ -22,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import class_rates, fold, labelled_sample
+from .common import class_rates, fold, labelled_sample, small_batches
 from .toxicity import platt
 
 FOLDS, HELD_OUT = 5, 0
@@ -77,6 +79,7 @@ class QualityParams:
     pairs: int = 6
     l2: float = 1e-3
     steps: int = 40
+    bins: int = 4096
     threshold: float = 0.3
 
 
@@ -91,6 +94,15 @@ class QualityModel:
     def utility(self, x: np.ndarray) -> np.ndarray:
         return ((expand(x) - self.mean) / self.scale) @ self.weights
 
+    def utility_column(self, text):
+        """Utility as a column expression."""
+        model = self
+
+        @F.pandas_udf("double")
+        def quality_utility(texts: pd.Series) -> pd.Series:
+            return pd.Series(model.utility(np.stack([text_features(t) for t in texts])) if len(texts) else [], dtype="float64")
+        return quality_utility(text)
+
     def column(self, text):
         """Score as a column expression."""
         model = self
@@ -122,7 +134,11 @@ def bradley_terry(good: np.ndarray, bad: np.ndarray, p: QualityParams, seed: int
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, params: QualityParams | None = None) -> QualityModel:
-    p = params or QualityParams()
+    with small_batches(docs.sparkSession):
+        return _fit(docs, labels, params or QualityParams())
+
+
+def _fit(docs: DataFrame, labels: DataFrame, p: QualityParams) -> QualityModel:
     n0, n1 = class_rates(labels, "quality", FOLDS, HELD_OUT)
     prior = (n1 + 0.5) / (n0 + n1 + 1)
 
@@ -135,30 +151,42 @@ def fit_quality(docs: DataFrame, labels: DataFrame, params: QualityParams | None
     if len(set(y.tolist())) < 2:
         return QualityModel(np.zeros(78), np.ones(78), np.zeros(78), 1.0, float(np.log(prior / (1 - prior))))
     x = expand(np.stack(got["x"].to_numpy()))
+    order = np.lexsort((*x.T[::-1], y))  # one order, whatever the partitions
+    x, y = x[order], y[order]
     mean, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
     x = (x - mean) / scale
     w = bradley_terry(x[y == 1], x[y == 0], p)
     u = x @ w
     weight = np.where(y == 1, n1 / max(1, (y == 1).sum()), n0 / max(1, (y == 0).sum()))
     slope, _ = platt(u, y.astype(float), weight)
-    slope = max(slope, 0.05)
+    model = QualityModel(mean, scale, w, max(slope, 0.05), 0.0)
+    share, error = bad_share(u, y, weight)
+    low, width = float(u.min()), max(float(np.ptp(u)), 1e-9)
+    bin_ = F.least(F.greatest(F.floor((model.utility_column(F.col("text")) - (low - width / 4)) / (1.5 * width) * p.bins), F.lit(0)), F.lit(p.bins - 1))
+    counts = np.zeros(p.bins)
+    for r in docs.select(bin_.cast("int").alias("bin")).groupBy("bin").count().collect():  # at most p.bins rows
+        counts[r["bin"]] = r["count"]
+    cut = low - width / 4 + quantile_cut(counts, share, error) / p.bins * 1.5 * width
+    model.shift = float(np.log(p.threshold / (1 - p.threshold)) - model.slope * cut)
+    return model
+
+
+def bad_share(u: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Share of bad rows by the utility below which the least label weight is misjudged, and two standard errors of it."""
     order = np.argsort(u, kind="stable")
-    share = np.cumsum(weight[order]) / weight.sum()
-    at = min(int(np.searchsorted(share, n0 / (n0 + n1))), len(u) - 1)
-    cut = quantile_cut(u[order], y[order], weight[order], at)
-    return QualityModel(mean, scale, w, slope, float(np.log(p.threshold / (1 - p.threshold)) - slope * cut))
-
-
-def quantile_cut(u: np.ndarray, y: np.ndarray, weight: np.ndarray, at: int) -> float:
-    """The utility at the quantile of the bad share, or at a nearby lower one where fewer good rows fall below.
-
-    Noisy labels put some bad rows among the good ones; the quantile at which the misjudged weight is least,
-    at or below the bad share, leaves those in place.
-    """
-    wrong = np.cumsum(np.where(y == 1, weight, -weight))
-    best = int(np.argmin(wrong[: at + 1]))
-    above = u[best + 1] if best + 1 < len(u) else u[best] + 1e-6
-    return float((u[best] + above) / 2)
+    wrong = np.cumsum(np.where(y[order] == 1, weight[order], -weight[order]))
+    share = float(weight[order][: int(np.argmin(wrong)) + 1].sum() / weight.sum()) if wrong.min() < 0 else 0.0
+    return share, float(2 * np.sqrt(max(share * (1 - share), 1e-9) / len(u)))
+
+
+def quantile_cut(counts: np.ndarray, share: float, error: float, blur: int = 33) -> float:
+    """The place, in bins, of least density between the quantiles share - error and share + error of a histogram."""
+    below = np.append(0, np.cumsum(counts)) / max(1, counts.sum())
+    first = int(np.searchsorted(below, max(share - error, 0.0), side="left"))
+    last = max(first, int(np.searchsorted(below, min(share + error, 1.0), side="right")) - 1)
+    dense = np.convolve(np.append(counts, 0), np.ones(blur), "same")[first : last + 1]
+    least = np.flatnonzero(dense == dense.min())
+    return float(first + least[len(least) // 2])
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, params: QualityParams | None = None) -> DataFrame:
