@@ -48,8 +48,10 @@ def set_text(sel: Selection, text: Column | str) -> DataFrame:
 
 
 def set_namespace_declaration(sel: Selection, prefix: str, uri: str) -> DataFrame:
-    """MU17."""
-    return _changed(sel, xmlns=F.map_concat(without_key("xmlns", prefix), F.create_map(F.lit(prefix), F.lit(uri))))
+    """MU17: an empty prefix is the default namespace."""
+    name = f"xmlns:{prefix}" if prefix else "xmlns"
+    put = lambda column, key: F.map_concat(without_key(column, key), F.create_map(F.lit(key), F.lit(uri)))
+    return _changed(sel, xmlns=put("xmlns", prefix), attrs=put("attrs", name))
 
 
 def update_elements(sel: Selection, *, name: str | None = None, namespace_uri: str | None = None, text: Column | str | None = None, attributes: dict[str, str] | None = None) -> DataFrame:

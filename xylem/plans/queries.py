@@ -37,11 +37,33 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def namespaced(nation: DataFrame) -> DataFrame:
-    """Documents with prefixes and default namespaces."""
-    body = F.concat(corpora.leaf("n:name", F.col("n_name")), corpora.element("region", corpora.leaf("key", F.col("n_regionkey")), xmlns=F.lit("urn:region")), corpora.leaf("plain", F.col("n_nationkey")))
-    root = F.concat(F.lit('<n:nation xmlns:n="urn:nation" xmlns:x="urn:extra" xml:lang="en-GB">'), body, F.lit("</n:nation>"))
-    return nation.select(F.col("n_nationkey").cast("string").alias("doc_id"), root.alias("xml"))
+def namespaced(customer: DataFrame, repeated: bool = False) -> DataFrame:
+    """Documents with prefixes and default namespaces; repeated: with declarations on every element."""
+    again = {"xmlns_n": F.lit("urn:customer"), "xmlns_x": F.lit("urn:extra")} if repeated else {}
+    lang = F.when(F.col("c_nationkey") % 2 == 0, "en-GB").otherwise("de")
+    key = corpora.leaf("key", F.col("c_nationkey"), **({"xmlns": F.lit("urn:region")} if repeated else {}))
+    vip = corpora.leaf("x:vip", F.lit("yes"), since=F.lit("1"), **again)
+    body = F.concat(
+        corpora.leaf("n:name", F.col("c_name"), **again), corpora.element("region", key, xmlns=F.lit("urn:region")), F.when(F.col("c_custkey") % 3 == 0, vip).otherwise(""),
+        corpora.leaf("plain", F.col("c_custkey"), xml_lang=F.lit("fr"), **({"xmlns": F.lit("")} if repeated else {})))
+    root = corpora.element("n:customer", body, xmlns_n=F.lit("urn:customer"), xmlns_x=F.lit("urn:extra"), xml_lang=lang)
+    return customer.select(F.col("c_custkey").cast("string").alias("doc_id"), root.alias("xml"))
+
+
+def letters(customer: DataFrame) -> DataFrame:
+    """Documents of mixed content, with prolog, CDATA and comments."""
+    head = F.lit('<?xml version="1.0" encoding="UTF-8"?><!DOCTYPE letter>\n')
+    body = F.concat(
+        F.lit("<!-- "), F.col("c_mktsegment"), F.lit(" -->Dear "), corpora.leaf("b", F.col("c_name")), F.lit(", you owe "), corpora.leaf("i", corpora.money(F.col("c_acctbal"))), F.lit("<![CDATA[< all >]]><!-- end -->"))
+    return customer.select(F.col("c_custkey").cast("string").alias("doc_id"), F.concat(head, corpora.element("letter", body, id=F.col("c_custkey"))).alias("xml"))
+
+
+def supplier_documents(supplier: DataFrame) -> DataFrame:
+    """A document for each nation with its suppliers; every fifth has no judgement."""
+    active = F.when(F.col("s_suppkey") % 5 != 0, corpora.leaf("active", F.when(F.col("s_suppkey") % 2 == 1, "true").otherwise("FALSE"))).otherwise("")
+    one = corpora.element("supplier", F.concat(corpora.leaf("name", F.col("s_name")), active, corpora.leaf("acctbal", corpora.money(F.col("s_acctbal")))), id=F.col("s_suppkey"))
+    inner = corpora.gathered(supplier, "s_nationkey", "s_suppkey", one)
+    return inner.select(F.col("_k").cast("string").alias("doc_id"), corpora.element("suppliers", F.col("_inner"), nation=F.col("_k")).alias("xml"))
 
 
 def nodes(spark: SparkSession, d: str, corpus: str) -> DataFrame:
@@ -52,7 +74,10 @@ def nodes(spark: SparkSession, d: str, corpus: str) -> DataFrame:
             "orders": lambda: corpora.order_documents(table(spark, d, "lineitem")),
             "conversations": lambda: corpora.conversation_documents(table(spark, d, "conversations")),
             "parts": lambda: corpora.part_documents(table(spark, d, "part")),
-            "nations": lambda: namespaced(table(spark, d, "nation")),
+            "namespaced": lambda: namespaced(table(spark, d, "customer")),
+            "repeated": lambda: namespaced(table(spark, d, "customer"), True),
+            "letters": lambda: letters(table(spark, d, "customer")),
+            "suppliers": lambda: supplier_documents(table(spark, d, "supplier")),
         }[corpus]()
         _held[key] = shred(made).persist(StorageLevel.MEMORY_AND_DISK)
     return _held[key]
@@ -169,9 +194,9 @@ def xp_position_last(spark, d):
     return keyed(s.rows, "custkey", F.col("pos").cast("bigint").alias("pos"), F.col("n").cast("bigint").alias("n"), attribute("id").cast("bigint").alias("id"))
 
 
-@query("SELECT c_custkey AS custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT CAST(s_nationkey AS BIGINT) AS nation, s_suppkey AS id FROM supplier WHERE s_suppkey % 5 = 0")
 def xp_no_child(spark, d):
-    return keyed(sel(spark, d, "customers").having_child("order", negate=True).rows, "custkey")
+    return keyed(sel(spark, d, "suppliers").find("supplier").having_child("active", negate=True).rows, "nation", attribute("id").cast("bigint").alias("id"))
 
 
 @query("""SELECT c_custkey AS custkey, CAST(length(c_name) AS INTEGER) AS len, substr(c_name, 1, 4) AS head, substr(c_name, 1, 2) AS clamped,
@@ -305,9 +330,12 @@ def to_map_reduce(spark, d):
     min(q.v) AS low, max(q.v) AS high, round(avg(q.v), 4) AS mean FROM q JOIN m ON m.k = q.k AND m.r = 1 GROUP BY 1""")
 def median_mode_variance(spark, d):
     s = sel(spark, d, "orders").find("qty")
-    x = F.coalesce(F.col("num"), V.parse_float(F.col("text")))
-    one = s.per_document(median=F.median(x), variance=F.round(F.var_pop(x), 4), deviation=F.round(F.stddev_pop(x), 4), p90=F.round(F.percentile(x, 0.9), 4), low=F.min(x), high=F.max(x), mean=F.round(F.avg(x), 4))
-    return keyed(one.join(s.mode(), "doc_id"), "orderkey", "median", "variance", "deviation", "p90", "mode", "low", "high", "mean")
+    one = s.median()
+    for other in (s.variance(), s.standard_deviation(), s.percentile(90), s.min(), s.max(), s.average(), s.mode()):
+        one = one.join(other, "doc_id")
+    return keyed(
+        one, "orderkey", "median", F.round("variance", 4).alias("variance"), F.round("standard_deviation", 4).alias("deviation"), F.round("percentile", 4).alias("p90"), "mode",
+        F.col("min").alias("low"), F.col("max").alias("high"), F.round("average", 4).alias("mean"))
 
 
 @query("SELECT l_orderkey AS orderkey, string_agg(CAST(CAST(l_discount AS DECIMAL(15,2)) AS VARCHAR), ' ' ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS texts, CAST(count(*) AS INTEGER) AS n, max(l_returnflag) = min(l_returnflag) AS alike FROM lineitem GROUP BY 1")
@@ -368,27 +396,27 @@ def escaped_texts(spark, d):
 
 # Namespaces ---------------------------------------------------------------------------------------------------------
 
-@query("SELECT CAST(n_nationkey AS BIGINT) AS nation, n_name AS name, CAST(n_regionkey AS VARCHAR) AS region, CAST(2 AS BIGINT) AS prefixed, CAST(2 AS BIGINT) AS defaulted, 'urn:extra' AS extra, 'n|x' AS prefixes FROM nation")
+@query("SELECT c_custkey AS custkey, c_name AS name, CAST(c_nationkey AS VARCHAR) AS region, CASE WHEN c_custkey % 3 = 0 THEN 3 ELSE 2 END AS prefixed, 2 AS defaulted, 'urn:extra' AS extra, 'n|x' AS prefixes FROM customer")
 def namespaces(spark, d):
-    s = sel(spark, d, "nations")
-    ctx = s.with_namespaces({"a": "urn:nation"}).with_alias("r", "urn:region")
+    s = sel(spark, d, "namespaced")
+    ctx = s.with_namespaces({"a": "urn:customer"}).with_alias("r", "urn:region")
     one = lambda x, name: x.rows.select("doc_id", F.col("text").alias(name))
     out = one(ctx.find("a:name"), "name").join(one(ctx.find("r:key"), "region"), "doc_id")
     out = out.join(s.has_namespace().count().withColumnRenamed("count", "prefixed"), "doc_id").join(s.default_namespace().count().withColumnRenamed("count", "defaulted"), "doc_id")
     out = out.join(s.resolve_namespace("x").withColumnRenamed("uri", "extra"), "doc_id").join(s.find("plain").get_namespace_prefixes(), "doc_id")
-    return keyed(out, "nation", "name", "region", "prefixed", "defaulted", "extra", F.array_join("prefixes", "|").alias("prefixes"))
+    return keyed(out, "custkey", "name", "region", F.col("prefixed").cast("int").alias("prefixed"), F.col("defaulted").cast("int").alias("defaulted"), "extra", F.array_join("prefixes", "|").alias("prefixes"))
 
 
-@query("SELECT CAST(n_nationkey AS BIGINT) AS nation, CAST(5 AS BIGINT) AS english, CAST(0 AS BIGINT) AS french FROM nation")
+@query("SELECT c_custkey AS custkey, CAST(CASE WHEN c_nationkey % 2 = 0 THEN 4 + (c_custkey % 3 = 0)::INTEGER ELSE 0 END AS BIGINT) AS english, CAST(1 AS BIGINT) AS french FROM customer")
 def lang_filter(spark, d):
-    s = sel(spark, d, "nations").depth_first()
+    s = sel(spark, d, "namespaced").depth_first()
     en, fr = s.where(V.lang_is(F.col("lang"), "EN")).count(), s.where(V.lang_is(F.col("lang"), "fr")).count()
-    return keyed(en.withColumnRenamed("count", "english").join(fr.withColumnRenamed("count", "french"), "doc_id"), "nation", "english", "french")
+    return keyed(en.withColumnRenamed("count", "english").join(fr.withColumnRenamed("count", "french"), "doc_id"), "custkey", "english", "french")
 
 
-@query("SELECT CAST(n_nationkey AS BIGINT) AS nation, u.k AS key, u.n FROM nation, (VALUES ('n', CAST(2 AS BIGINT)), ('(no-namespace)', CAST(3 AS BIGINT))) u(k, n)")
+@query("""SELECT c_custkey AS custkey, u.k AS key, u.n FROM customer, (VALUES ('n', CAST(2 AS BIGINT)), ('(no-namespace)', CAST(3 AS BIGINT)), ('x', CAST(1 AS BIGINT))) u(k, n) WHERE u.k <> 'x' OR c_custkey % 3 = 0""")
 def group_by_namespace(spark, d):
-    return keyed(sel(spark, d, "nations").depth_first().group_by_namespace(n=F.count(F.lit(1))), "nation", "key", "n")
+    return keyed(sel(spark, d, "namespaced").depth_first().group_by_namespace(n=F.count(F.lit(1))), "custkey", "key", "n")
 
 
 # Changes and XML output ---------------------------------------------------------------------------------------------
@@ -505,19 +533,19 @@ def soap_payload(spark, d):
     return keyed(body.join(head, "doc_id"), "nation", "dialect", F.col("xml").alias("body"), "header")
 
 
-@query("SELECT page_id, false AS well_formed FROM pages")
+@query("SELECT page_id, page_id % 2 = 0 AS well_formed FROM pages")
 def pages_wellformed(spark, d):
-    out = shred(table(spark, d, "pages"), "page_id", "html", mode="PERMISSIVE")
+    """Raw pages, none of which is well-formed, and by turns documents made of their addresses."""
+    pages = table(spark, d, "pages")
+    xml = F.when(F.col("page_id") % 2 == 0, corpora.leaf("page", F.col("url"), id=F.col("page_id"))).otherwise(F.col("html"))
+    out = shred(pages.select("page_id", xml.alias("xml")), "page_id", "xml", mode="PERMISSIVE")
     return out.groupBy(F.col("doc_id").cast("bigint").alias("page_id")).agg(F.bool_and(F.col("_error").isNull()).alias("well_formed"))
 
 
-PAYMENT = """<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:element name="payment"><xs:complexType><xs:sequence>
-<xs:element name="country" type="code"/><xs:element name="total" minOccurs="0" maxOccurs="unbounded"><xs:simpleType><xs:restriction base="xs:decimal"><xs:totalDigits value="8"/><xs:minInclusive value="0"/></xs:restriction></xs:simpleType></xs:element>
-</xs:sequence><xs:attribute name="reference" type="xs:string" use="required"/></xs:complexType></xs:element>
-<xs:simpleType name="code"><xs:restriction base="xs:string"><xs:enumeration value="DE"/><xs:enumeration value="FR"/></xs:restriction></xs:simpleType></xs:schema>"""
-
-
-@query("SELECT * FROM (VALUES ('code', 'xs:string', 'enumeration', 'DE|FR'), ('total', 'xs:decimal', 'minInclusive', '0'), ('total', 'xs:decimal', 'totalDigits', '8')) v(owner, base, facet, vals)")
+@query("""SELECT * FROM (SELECT CAST(p_partkey // 50 AS BIGINT) AS run, u.owner, u.base, u.facet, CASE u.facet WHEN 'enumeration' THEN string_agg(p_brand, '|' ORDER BY p_partkey) ELSE max(u.v) END AS vals
+    FROM part, (VALUES ('code', 'xs:string', 'enumeration', ''), ('code', 'xs:string', 'maxLength', '9'), ('digits', 'xs:decimal', 'pattern', '[0-9]{3}')) u(owner, base, facet, v) GROUP BY p_partkey // 50, 2, 3, 4)""")
 def schema_facets(spark, d):
-    n = schema.schema_nodes(spark.createDataFrame([("payment", PAYMENT)], "doc_id string, xml string"))
-    return schema.facets(n).select("owner", "base", "facet", F.array_join("values", "|").alias("vals"))
+    from .methods import part_schemas
+
+    n = schema.schema_nodes(part_schemas(spark, d))
+    return keyed(schema.facets(n), "run", "owner", "base", "facet", F.array_join("values", "|").alias("vals"))

@@ -274,6 +274,33 @@ def bind(df: DataFrame, xml: str, record: Record, mode: str = "warn", strict_emp
     return out.drop("_raw")
 
 
+def bind_subtypes(df: DataFrame, xml: str, base: Record, subtypes: dict[str, Record], mode: str = "warn") -> DataFrame:
+    """BI22: adds to `bind`'s columns `subtype`, the known local name that the root's xsi:type gives, and `subtypes`, a
+    struct with one member for each of them: the record of that subtype, null for documents of another.
+
+    The prefix of xsi and of the type's name are the document's own. An unknown type has the base's record only.
+    """
+    written_type = F.regexp_extract(F.col(xml), r"""\A\s*(?:<\?.*?\?>\s*|<!--.*?-->\s*)*<[^>]*?\s[\w.-]+:type\s*=\s*["'](?:[^"':]*:)?([^"']*)["']""", 1)
+    out = bind(df, xml, base, mode).withColumn("subtype", F.when(written_type.isin(*subtypes), written_type))
+    options = {"attributePrefix": "@_", "valueTag": "#text", "mode": "PERMISSIVE", "ignoreSurroundingSpaces": "false"}
+    parts = []
+    for name, record in subtypes.items():
+        raw = F.from_xml(F.when(F.col("subtype") == name, F.col(xml)), record.raw_schema(), options)
+        parts.append(F.when(raw.isNotNull(), bound(raw, record)).alias(name))
+    return out.withColumn("subtypes", F.struct(*parts))
+
+
+def declared(nodes: DataFrame) -> DataFrame:
+    """BI28: a node table whose elements declare only what is not in scope already: `xmlns` attributes that repeat the
+    parent's scope go, and an empty default namespace stays only where it ends one."""
+    up = nodes.select(F.col("doc_id").alias("_d"), F.col("pre").alias("_p"), F.col("ns_scope").alias("_scope"))
+    met = nodes.join(up, (F.col("doc_id") == F.col("_d")) & (F.col("parent_pre") == F.col("_p")), "left")
+    key = lambda k: F.when(k == "xmlns", "").otherwise(F.substr(k, F.lit(7)))
+    known = lambda k, v: F.coalesce(F.try_element_at("_scope", key(k)), F.lit("")) == v
+    needed = F.map_filter("attrs", lambda k, v: ~((k == "xmlns") | k.startswith("xmlns:")) | ~known(k, v))
+    return met.withColumn("attrs", needed).withColumn("xmlns", F.map_filter("xmlns", lambda k, v: F.coalesce(F.try_element_at("_scope", k), F.lit("")) != v)).select(*nodes.columns)
+
+
 def written(base: Column, record: Record) -> Column:
     """BI26, BI27: a typed struct as the struct that `to_xml` writes. Dynamic members are put in by `unbind`."""
     fields = []

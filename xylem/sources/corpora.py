@@ -12,13 +12,13 @@ def money(x: Column) -> Column:
     return x.cast("decimal(15,2)").cast("string")
 
 
-def element(name: str, content: Column, **attrs: Column) -> Column:
+def element(name: str, content: Column, /, **attrs: Column) -> Column:
     """One element as text; content is XML already."""
     head = [x for k, v in attrs.items() for x in (F.lit(f' {k.replace("_", ":")}="'), escape_attribute(v), F.lit('"'))]
     return F.concat(F.lit(f"<{name}"), *head, F.lit(">"), content, F.lit(f"</{name}>"))
 
 
-def leaf(name: str, value: Column, **attrs: Column) -> Column:
+def leaf(name: str, value: Column, /, **attrs: Column) -> Column:
     return element(name, escape_text(value), **attrs)
 
 

@@ -3,11 +3,12 @@ coverage notes as tables that are selected from the schema's own node table."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.selection import attribute, select
+from .bind import XSD_TYPES
 from .shred import shred
 
 XSD = "http://www.w3.org/2001/XMLSchema"
@@ -48,11 +49,21 @@ def _owner(nodes: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def elements(nodes: DataFrame) -> DataFrame:
-    """CG02, CG05, CG14: elements and attributes with type, occurrence and default."""
+    """CG02, CG05, CG12, CG14: elements and attributes with type, occurrence and default.
+
+    compositor is the nearest sequence, choice or all around an element. place counts an owner's elements in the order of
+    the schema, whatever compositors they are nested in: those of a nested choice stand where the choice does. Within a
+    choice or an all that order binds no document.
+    """
     rows = _owner(nodes, _xs(nodes, "element", "attribute").rows)
+    around = rows.select("doc_id", F.col("pre").alias("_pre"), F.posexplode("anc_pres").alias("_level", "_anc"))
+    model = _xs(nodes, "sequence", "choice", "all").rows.select(F.col("doc_id").alias("_d"), F.col("pre").alias("_p"), F.col("local_name").alias("_model"))
+    near = around.join(model, (F.col("doc_id") == F.col("_d")) & (F.col("_anc") == F.col("_p"))).groupBy(F.col("doc_id").alias("_doc"), F.col("_pre").alias("_node")).agg(F.min_by("_model", "_level").alias("compositor"))
+    rows = rows.join(near, (F.col("pre") == F.col("_node")) & (F.col("doc_id") == F.col("_doc")), "left").drop("_doc", "_node")
+    rows = rows.withColumn("place", F.when(F.col("compositor").isNotNull(), F.row_number().over(W.partitionBy("doc_id", "owner", F.col("compositor").isNotNull()).orderBy("pre"))))
     many = attribute("maxOccurs")
     return rows.select(
-        "doc_id", "pre", "owner", F.col("local_name").alias("kind"), F.coalesce(attribute("name"), attribute("ref")).alias("name"), attribute("type").alias("type"),
+        "doc_id", "pre", "owner", "compositor", "place", F.col("local_name").alias("kind"), F.coalesce(attribute("name"), attribute("ref")).alias("name"), attribute("type").alias("type"),
         F.coalesce(attribute("minOccurs").cast("int"), F.lit(1)).alias("min_occurs"), F.when(many != "unbounded", many.try_cast("int")).when(many.isNull(), 1).alias("max_occurs"),
         F.coalesce(attribute("nillable") == "true", F.lit(False)).alias("nillable"), attribute("default").alias("default"), attribute("fixed").alias("fixed"),
         attribute("use").alias("use"), attribute("substitutionGroup").alias("substitution_group"), F.coalesce(attribute("abstract") == "true", F.lit(False)).alias("abstract"))
@@ -81,6 +92,12 @@ def enumerations(nodes: DataFrame) -> DataFrame:
     return facets(nodes).where(F.col("facet") == "enumeration").select("doc_id", "owner", F.posexplode("values").alias("place", "token"))
 
 
+def lexical_overrides(nodes: DataFrame) -> DataFrame:
+    """CG10: number types with a pattern, whose values stay text, so that their written form is kept (`000`, `1.50`)."""
+    patterned = facets(nodes).where(F.col("facet") == "pattern").select("doc_id", F.col("owner").alias("name"), "base", F.col("values").alias("patterns"))
+    return patterned.where(F.element_at(F.split("base", ":"), -1).isin(*[k for k, v in XSD_TYPES.items() if v not in ("string", "boolean", "date", "timestamp", "array<string>")]))
+
+
 def external(nodes: DataFrame) -> DataFrame:
     """CG06: include, import and redefine references; remote places are marked, not fetched."""
     where = attribute("schemaLocation")

@@ -5,18 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 SHARED_DIR = "spark.checkpoint.dir"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet and reads it again. The folder is the session's; where it names none, one is made."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's folder that driver and executors share. In local mode (tests) one is made where it names none."""
     folder = spark.conf.get(SHARED_DIR, None) or spark.sparkContext.getConf().get(SHARED_DIR)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"{SHARED_DIR} must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set(SHARED_DIR, folder)
-    path = f"{folder.rstrip('/')}/xylem-{name}-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Writes df as Parquet and reads it again."""
+    path = f"{shared_folder(df.sparkSession)}/xylem-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
