@@ -13,7 +13,8 @@ import re
 from collections.abc import Iterator
 from xml.parsers import expat
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,71 +26,111 @@ RAW_SCHEMA = (
     " attrs map<string,string>, xmlns map<string,string>, ns_scope map<string,string>, lang string, path string,"
     " anc_pres array<bigint>, text_nodes array<string>, comments array<string>, _error string"
 )
-COLUMNS = [c.split()[0] for c in re.sub(r"<[^>]*>", "", RAW_SCHEMA).split(", ")]
+ARROW = {
+    "string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "map<string,string>": pa.map_(pa.string(), pa.string()),
+    "array<bigint>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string()),
+}
+TYPES = {c.split()[0]: ARROW[c.split()[1]] for c in RAW_SCHEMA.split(", ")}
+COLUMNS = list(TYPES)
 MODES = ("PERMISSIVE", "DROPMALFORMED", "FAILFAST")
+NONE: list = []  # of what a node has none of; shared and never changed
 
 
 class _Builder:
-    """Collects the nodes of one document from parser events."""
+    """Collects the nodes of documents, column by column, from parser events."""
 
-    def __init__(self, doc_id: str, trim: bool, max_depth: int | None):
-        self.doc_id, self.trim, self.max_depth = doc_id, trim, max_depth
-        self.nodes: list[dict] = []
-        self.open: list[dict] = []
+    def __init__(self, trim: bool):
+        self.trim = trim
+        self.columns: dict[str, list] = {c: [] for c in COLUMNS}
+        self.base = 0
+
+    def begin(self, doc_id: str | None) -> None:
+        self.doc_id, self.base = doc_id, len(self.columns["pre"])
+        self.open: list[tuple] = []  # row, runs of text, names of children, scope, state [CDATA text, plain]
         self.run: list[str] = []
         self.cdata = False
 
+    def undo(self) -> None:
+        """Takes away what the document that is being read has given."""
+        for values in self.columns.values():
+            del values[self.base :]
+
+    def error(self, message: str) -> None:
+        for c, values in self.columns.items():
+            values.append(self.doc_id if c == "doc_id" else message if c == "_error" else None)
+
+    def text(self, part: str) -> None:
+        self.run.append(part)
+
     def _flush(self) -> None:
         text = "".join(self.run)
-        self.run = []
+        self.run.clear()
         if self.open and text:
-            node = self.open[-1]
-            node["_raw"].append(text)
-            if text.strip():
-                node["text_nodes"].append(text.strip() if self.trim and not self.cdata else text)
-                if self.cdata and node["_cdata"] is None:
-                    node["_cdata"] = text
+            row, raw, _, _, state = self.open[-1]
+            raw.append(text)
+            if stripped := text.strip():
+                held = self.columns["text_nodes"]
+                if held[row] is NONE:
+                    held[row] = []
+                held[row].append(stripped if self.trim and not self.cdata else text)
+                if self.cdata and state[0] is None:
+                    state[0] = text
 
     def start(self, name: str, flat: list[str]) -> None:
-        self._flush()
-        up = self.open[-1] if self.open else None
-        attrs = dict(zip(flat[::2], flat[1::2], strict=True))
-        own = {k[6:]: v for k, v in attrs.items() if k.startswith("xmlns:")} | ({"": attrs["xmlns"]} if "xmlns" in attrs else {})
-        scope = (up["ns_scope"] if up else {}) | own if own else (up["ns_scope"] if up else {})
+        if self.run:
+            self._flush()
+        c, row = self.columns, len(self.columns["pre"])
+        attrs = list(zip(flat[::2], flat[1::2], strict=True)) if flat else NONE
+        own = [(k[6:], v) for k, v in attrs if k == "xmlns" or k.startswith("xmlns:")] if flat else NONE
+        if self.open:
+            up, _, names, scope, state = self.open[-1]
+            state[1] = False
+            same = names.get(name, 0)
+            names[name] = same + 1
+            ord_ = c["n_children"][up]
+            c["n_children"][up] = ord_ + 1
+            parent, lang, path, chain = c["pre"][up], c["lang"][up], f"{c['path'][up]}/{name}", [c["pre"][up], *c["anc_pres"][up]]
+            shown = c["ns_scope"][up]
+        else:
+            same = ord_ = 0
+            parent = lang = None
+            path, chain, scope, shown = name, NONE, {}, NONE
+        if own:
+            scope = scope | dict(own)
+            shown = [(k, v) for k, v in scope.items() if v]
         prefix, _, local = name.rpartition(":")
-        same = up["_names"].get(name, 0) if up else 0
-        node = {
-            "doc_id": self.doc_id, "pre": len(self.nodes), "parent_pre": up["pre"] if up else None, "depth": len(self.open),
-            "ord": up["n_children"] if up else 0, "ord_same_name": same, "n_children": 0, "name": name, "prefix": prefix or None, "local_name": local,
-            "ns_uri": scope.get(prefix) or None, "attrs": attrs, "xmlns": own, "ns_scope": {k: v for k, v in scope.items() if v},
-            "lang": attrs.get("xml:lang") or (up["lang"] if up else None), "path": f"{up['path']}/{name}" if up else name,
-            "anc_pres": [up["pre"], *up["anc_pres"]] if up else [], "text_nodes": [], "comments": [], "_raw": [], "_cdata": None, "_names": {}, "_plain": True,
-        }
-        if up:
-            up["n_children"] += 1
-            up["_names"][name] = same + 1
-            up["_plain"] = False
-        self.nodes.append(node)
-        self.open.append(node)
+        for k, v in attrs:
+            if k == "xml:lang":
+                lang = v or lang
+        for column, value in (
+            ("doc_id", self.doc_id), ("pre", row - self.base), ("end_pre", None), ("parent_pre", parent), ("depth", len(self.open)), ("ord", ord_), ("ord_same_name", same), ("n_siblings", 1), ("n_children", 0),
+            ("name", name), ("prefix", prefix or None), ("local_name", local), ("ns_uri", scope.get(prefix) or None), ("text", None), ("raw_text", None), ("text_only", False), ("attrs", attrs), ("xmlns", own),
+            ("ns_scope", shown), ("lang", lang), ("path", path), ("anc_pres", chain), ("text_nodes", NONE), ("comments", NONE), ("_error", None),
+        ):
+            c[column].append(value)
+        self.open.append((row, [], {}, scope, [None, True]))
 
     def end(self, _name: str) -> None:
-        self._flush()
-        node = self.open.pop()
-        node["end_pre"] = len(self.nodes) - 1
-        raw = "".join(node.pop("_raw"))
-        cdata, plain = node.pop("_cdata"), node.pop("_plain")
-        text = cdata if cdata is not None else "".join(node["text_nodes"]) if not plain else raw.strip() if self.trim else raw
-        node["text"] = text if text or (plain and raw) else None
-        node["raw_text"] = cdata if cdata is not None else raw or None
-        node["text_only"] = plain and cdata is None
+        if self.run:
+            self._flush()
+        c = self.columns
+        row, raw, _, _, (cdata, plain) = self.open.pop()
+        c["end_pre"][row] = len(c["pre"]) - 1 - self.base
+        whole = "".join(raw)
+        text = cdata if cdata is not None else "".join(c["text_nodes"][row]) if not plain else whole.strip() if self.trim else whole
+        c["text"][row] = text if text or (plain and whole) else None
+        c["raw_text"][row] = cdata if cdata is not None else whole or None
         if plain and cdata is None:
-            node["text_nodes"] = []
+            c["text_only"][row], c["text_nodes"][row] = True, NONE
 
     def comment(self, text: str) -> None:
         self._flush()
         if self.open:
-            self.open[-1]["comments"].append(text.strip() if self.trim else text)
-            self.open[-1]["_plain"] = False
+            row = self.open[-1][0]
+            if self.columns["comments"][row] is NONE:
+                self.columns["comments"][row] = []
+            self.columns["comments"][row].append(text.strip() if self.trim else text)
+            self.open[-1][4][1] = False
 
     def start_cdata(self) -> None:
         self._flush()
@@ -99,28 +140,37 @@ class _Builder:
         self._flush()
         self.cdata = False
 
+    def read(self, doc_id: str | None, xml: str | None) -> None:
+        """Adds the nodes of one document. Raises ValueError, adding none, for what is empty or malformed."""
+        self.begin(doc_id)
+        if xml is None or not xml.strip():
+            raise ValueError("Empty XML string")
+        p = expat.ParserCreate(encoding="UTF-8")
+        p.ordered_attributes = True
+        p.buffer_text = True
+        p.StartElementHandler, p.EndElementHandler, p.CommentHandler, p.CharacterDataHandler = self.start, self.end, self.comment, self.text
+        p.StartCdataSectionHandler, p.EndCdataSectionHandler = self.start_cdata, self.end_cdata
+        try:
+            p.Parse(re.sub(r"\A\s*(?:<\?xml[^>]*\?>)?", "", xml).encode(), True)
+        except expat.ExpatError as e:
+            self.undo()
+            raise ValueError(str(e)) from e
+        c, base = self.columns, self.base
+        for row in range(base + 1, len(c["pre"])):
+            c["n_siblings"][row] = c["n_children"][base + c["parent_pre"][row]]
+
+    def batch(self, max_depth: int | None) -> pa.RecordBatch:
+        """What is held, as Arrow columns; nothing is held after."""
+        out = pa.RecordBatch.from_arrays([pa.array(self.columns[c], type=t) for c, t in TYPES.items()], names=COLUMNS)
+        self.columns = {c: [] for c in COLUMNS}
+        return out if max_depth is None else out.filter(pc.fill_null(pc.less_equal(out.column("depth"), max_depth), True))
+
 
 def parse(doc_id: str, xml: str | None, trim: bool = True, max_depth: int | None = None) -> list[dict]:
     """Node rows of one document. Raises ValueError for what is empty or malformed."""
-    if xml is None or not xml.strip():
-        raise ValueError("Empty XML string")
-    b = _Builder(doc_id, trim, max_depth)
-    p = expat.ParserCreate(encoding="UTF-8")
-    p.ordered_attributes = True
-    p.buffer_text = True
-    p.StartElementHandler, p.EndElementHandler, p.CommentHandler = b.start, b.end, b.comment
-    p.StartCdataSectionHandler, p.EndCdataSectionHandler = b.start_cdata, b.end_cdata
-    p.CharacterDataHandler = lambda s: b.run.append(s)  # the list changes
-    try:
-        p.Parse(re.sub(r"\A\s*(?:<\?xml[^>]*\?>)?", "", xml).encode(), True)
-    except expat.ExpatError as e:
-        raise ValueError(str(e)) from e
-    for node in b.nodes:
-        up = node["parent_pre"]
-        node["n_siblings"] = b.nodes[up]["n_children"] if up is not None else 1
-        del node["_names"]
-        node["_error"] = None
-    return [n for n in b.nodes if max_depth is None or n["depth"] <= max_depth]
+    b = _Builder(trim)
+    b.read(doc_id, xml)
+    return b.batch(max_depth).to_pylist()
 
 
 def shred(docs: DataFrame, doc_id: str = "doc_id", xml: str = "xml", *, trim: bool = True, numbers: bool = True, booleans: bool = True, max_depth: int | None = None, mode: str = "FAILFAST") -> DataFrame:
@@ -132,24 +182,23 @@ def shred(docs: DataFrame, doc_id: str = "doc_id", xml: str = "xml", *, trim: bo
     if mode not in MODES:
         raise ValueError(f"mode must be one of {', '.join(MODES)}")
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out: list[dict] = []
-            for i, text in zip(pdf["_id"], pdf["_xml"], strict=True):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b = _Builder(trim)
+        for batch in batches:
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
-                    out += parse(i, text, trim, max_depth)
+                    b.read(i, text)
                 except ValueError as e:
                     if mode == "FAILFAST":
                         raise ValueError(f"document {i}: {e}") from e
                     if mode == "PERMISSIVE":
-                        out.append(dict.fromkeys(COLUMNS) | {"doc_id": i, "_error": str(e)})
-                if len(out) > 20_000:
-                    yield pd.DataFrame(out, columns=COLUMNS).astype(object)
-                    out = []
-            yield pd.DataFrame(out, columns=COLUMNS).astype(object)
+                        b.error(str(e))
+                if len(b.columns["pre"]) > 10_000:
+                    yield b.batch(max_depth)
+        yield b.batch(max_depth)
 
     source = docs.select(F.col(doc_id).cast("string").alias("_id"), F.col(xml).alias("_xml"))
-    nodes = source.mapInPandas(rows, RAW_SCHEMA)
+    nodes = source.mapInArrow(rows, RAW_SCHEMA)
     num = F.when(F.col("text_only"), typed_number(F.col("text"))) if numbers else F.lit(None).cast("double")
     truth = F.when(F.col("text_only"), typed_boolean(F.col("text"))) if booleans else F.lit(None).cast("boolean")
     return nodes.withColumn("num", num).withColumn("bool", truth)
