@@ -747,12 +747,59 @@ OPERATORS = {
 }
 
 
+def odd_text(rows):
+    return {(r.doc_id, r.text) for r in rows}
+
+
 @pytest.mark.parametrize("name", OPERATORS)
 def test_odd_rows(spark, name):
+    """Null, empty, long, repeated and null-id rows have the values that the docstrings define."""
     docs = odd(spark)
+    rows = docs.collect()
     out = OPERATORS[name](spark, docs).collect()
-    assert len(out) == docs.count()
-    assert OPERATORS[name](spark, docs.where("false")).count() == 0
+    assert len(out) == len(rows) and OPERATORS[name](spark, docs.where("false")).count() == 0
+    raw = {}
+    for r in rows:
+        raw.setdefault(r.doc_id, []).append((r.text or "").encode())
+    by = {}
+    for r in out:
+        by.setdefault(r.doc_id, []).append(r)
+    values = lambda i, *c: sorted(tuple(r[x] for x in c) for r in by[i])
+    if name in ("toxicity", "quality"):
+        assert by[1][0].score == by[2][0].score and by[6][0].score == by[7][0].score == by[7][1].score and by[10][0].score == by[11][0].score
+        assert all(0 <= r.score <= 1 and r.held_out == (crc32(str(r.doc_id or "").encode()) % (4 if name == "toxicity" else 5) == (2 if name == "toxicity" else 0)) for r in out if r.doc_id is not None)
+    elif name == "media":
+        for i, texts in raw.items():
+            want = sorted((len(t), hashlib.sha256(jpeg.padded(t)).hexdigest(), crc32(jpeg.padded(t)[-32:])) for t in texts)
+            assert values(i, "n_bytes", "payload_sha256", "tail_crc32") == want
+        assert by[6][0].media_sha256 == by[7][0].media_sha256 and by[1][0].feature == by[2][0].feature
+    elif name == "mixing":
+        import re
+        for i, texts in raw.items():
+            assert values(i, "size") == sorted((len(re.findall(rb"[^\x20\x09-\x0D]+", t)),) for t in texts)
+        assert all(r.taken <= 2 * r["size"] and (r["size"] == 0 or r.taken % r["size"] == 0) for r in out)
+    elif name == "sharding":
+        for i, texts in raw.items():
+            assert values(i, "size", "text_crc32") == sorted((len(t) + 8, crc32(t)) for t in texts)
+        slots = {}
+        for r in out:
+            slots.setdefault(r.shard, []).append(r.slot)
+        assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and by[10][0].shard == by[11][0].shard and by[1][0].shard == by[2][0].shard
+    elif name == "join":
+        want = {1: (1, 2, 2), 2: (1, 2, 2), 3: (1, 2, 1), 4: (4, 1, 1), 5: (4, 1, 1), 6: (6, 2, 3), 7: (6, 2, 3), 9: (9, 0, 1), 10: (10, 1, 2), 11: (10, 1, 2), None: (None, None, None)}
+        assert all((r.class_id, r.links, r.copies) == want[r.doc_id] for r in out)
+    elif name == "counts":
+        assert by[1][0].n_tokens == by[2][0].n_tokens == 0 < by[4][0].n_tokens and by[6][0].n_tokens == by[7][0].n_tokens == by[7][1].n_tokens > 60_000
+    else:
+        for i, texts in raw.items():
+            assert values(i, "decoded_sha256") == sorted((hashlib.sha256(t).hexdigest(),) for t in texts)
+        assert by[1][0].n_tokens == by[2][0].n_tokens == 0
+
+
+def test_unknown_ids_decode_to_null(spark):
+    df = spark.createDataFrame([(1, [1, 2]), (2, None), (3, []), (4, [1, 10**8]), (5, [-1])], "k int, ids array<int>")
+    got = {r.k: r.decoded for r in byte_bpe.decode_ids(df, "ids", P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()}
+    assert got[1] is not None and got[3] == b"" and got[2] is got[4] is got[5] is None
 
 
 def test_untrained_models_give_the_label_rate(spark):
@@ -769,6 +816,46 @@ def test_stages_on_odd_rows(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=lambda x: (x is None, x)) == [1, 4, 6, 9, 10, None, None]
 
 
+def test_pipeline_equals_independent_versions(spark, tmp_path):
+    """Each stage's result against another way to it: scores, all pairs, SQL, another library's tokens."""
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    docs, labels = table(spark, "documents", CHECK).limit(400).cache(), table(spark, "labels", CHECK)
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    at = str(tmp_path)
+    kept = stages["toxicity"](spark, docs, at).cache()
+    score = {r.doc_id: r.predicted for r in toxicity.score_toxicity(docs, labels).collect()}
+    assert {r.doc_id for r in kept.collect()} == {i for i, x in score.items() if not x} and 0 < kept.count() < 400
+    good = stages["quality"](spark, kept, at).cache()
+    score = {r.doc_id: r.predicted for r in quality.score_quality(kept, labels).collect()}
+    assert {r.doc_id for r in good.collect()} == {i for i, x in score.items() if x}
+    lone = stages["near_duplicates"](spark, good, at).cache()
+    rows = [(r.doc_id, r.text) for r in good.collect()]
+    assert {r.doc_id for r in lone.collect()} == {c for c, _ in brute_join(rows).values()} and lone.count() < len(rows)
+    mixed = stages["mixing"](spark, lone, at).cache()
+    lone.write.parquet(f"{tmp_path}/mix/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/mix/documents.parquet/*.parquet'")
+    want = {i: taken // size for i, size, taken in con.execute(f"SELECT doc_id, size, taken FROM ({queries.ORACLE_SQL['op4_mixing']}) WHERE taken > 0").fetchall()}
+    assert {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()} == want
+    bpe = byte_bpe.load(P.path(corpus_pipeline.RANKS), P.PATTERN)
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.ranks, special_tokens={})
+    text = {r.doc_id: r.text for r in mixed.collect()}
+    assert all(r.ids == enc.encode_ordinary(text[r.doc_id]) for r in stages["byte_bpe"](spark, mixed, at).collect())
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    for name, rows in (("odd", odd(spark)), ("none", odd(spark).where("false"))):
+        rows.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels(spark).write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        ids = {r.doc_id for r in out}
+        assert ids <= {r.doc_id for r in rows.collect()} and 5 not in ids and 7 not in ids and (name == "odd" or not out)
+
+
 def test_pipeline_stages_take_effect(spark):
     import corpus_pipeline
 

@@ -19,7 +19,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -193,11 +192,12 @@ def with_tokens(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def decode_ids(df: DataFrame, ids: str, path: str, pattern: str) -> DataFrame:
-    """Adds `decoded`, the bytes of a column of ids; null where the ids are null."""
+    """Adds `decoded`, the bytes of a column of ids; null where the ids are null or one of them is in no vocabulary entry."""
 
     @F.pandas_udf("binary")
     def decoded(column: pd.Series) -> pd.Series:
         bpe = load(path, pattern)
-        return pd.Series([None if x is None else bpe.decode(chain(map(int, x))) for x in column], dtype=object)
+        known = lambda x: x is not None and all(int(i) in bpe.bytes_of for i in x)
+        return pd.Series([bpe.decode(map(int, x)) if known(x) else None for x in column], dtype=object)
 
     return df.withColumn("decoded", decoded(F.col(ids)))
