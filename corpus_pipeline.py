@@ -2,6 +2,12 @@
 
 Each stage works on all that the one before it has kept; `run` writes each stage's result as Parquet into the
 cluster's shared folder and reads it again for the next.
+
+Nulls and odd rows: a null text counts as empty in each stage; the mix takes no document without words, so that none is
+tokenized; a row with a null id is judged by its text, is no near duplicate and is mixed as the others; repeated rows
+are judged alike and one of them stays; ties in the mix are parted by digests; an empty documents table gives an empty
+result, and without labels of both classes no document is rejected below, or all are at, the label rate; further
+columns pass through all stages but the last.
 """
 
 from __future__ import annotations

@@ -61,10 +61,13 @@ def heavy_above(rows: int) -> int:
 def join_heavy(big: DataFrame, small: DataFrame, on: list[str], heavy: Column) -> DataFrame:
     """Inner join in which keys with very many rows in `big` don't meet in one task.
 
-    small has a row for each key. Its rows where `heavy` holds, at most 10,000 by `heavy_above`, are broadcast; the
-    others are joined by a shuffle.
+    small has a row for each key, and is written first. Its rows where `heavy` holds, at most 10,000 by `heavy_above`,
+    are broadcast; the others are joined by a shuffle. Mostly there are none, and the join is a plain one.
     """
+    small = materialise(small, "keys")
     hot = small.where(heavy)
+    if hot.isEmpty():
+        return big.join(small, on)
     rest = big.join(F.broadcast(hot.select(*on)), on, "left_anti").join(small.where(~heavy), on)
     return big.join(F.broadcast(hot), on).unionByName(rest)
 

@@ -7,8 +7,9 @@
 3. Matched prefixes are shortened level by level, from the full depth on, until the recall at the threshold,
    1 - (1 - t**d)**trees, reaches the target (with production parameters from 8 components to 5, where 3 of a million
    pairs at the threshold meet in no tree). At each level only nodes that still hold several classes have work left:
-   their texts are compared with the node's least text, exactly, and classes are joined. Most nodes are settled at
-   the full depth and never looked at again.
+   their texts are compared with the node's least text, exactly, and classes are joined: before the last level each text
+   with one such text, at the last level with all that are left in other classes. Most nodes are settled at the full
+   depth and never looked at again.
 4. What the last level leaves open are nodes of three or more texts in several classes. In those, texts outside the
    largest class are compared with all texts of the node, in tiles. After that every pair that shares a node is
    either in one class or has been compared.
@@ -249,15 +250,23 @@ def _to(end: str):
     return F.explode(F.sequence(F.lit(0), F.col(end) - 1))
 
 
-def star_tiles(trie: DataFrame, level: int, rows: int, p: JoinParams) -> DataFrame:
-    """Tiles of a node's least text with those texts of the node that aren't in its class, each pair once."""
+def star_tiles(trie: DataFrame, level: int, rows: int, p: JoinParams, one: bool) -> DataFrame | None:
+    """Tiles of a node's least text with those texts of the node that aren't in its class, each pair once; None if there are none.
+
+    one: each text is compared with the least of such texts alone, before the last level. That settles most classes, so
+    that few pairs are left to it.
+    """
     trie = trie.withColumnRenamed(f"n{level}", "node")
     hubs = trie.groupBy("node").agg(F.min(F.struct("id", "cls")).alias("h"), F.min("cls").alias("least"), F.max("cls").alias("most"), F.count(F.lit(1)).alias("below"))
     hubs = hubs.where(F.col("least") != F.col("most")).select("node", F.col("h.id").alias("hub"), F.col("h.cls").alias("hub_cls"), "below")
     pairs = join_heavy(trie.select("node", "id", "cls", "n"), hubs, ["node"], F.col("below") > heavy_above(rows)).where(F.col("cls") != F.col("hub_cls"))
-    pairs = materialise(pairs.select("hub", "id", "n").distinct(), "join-star")
+    pairs = pairs.groupBy("id").agg(F.min("hub").alias("hub"), F.first("n").alias("n")) if one else pairs.select("hub", "id", "n").distinct()
+    pairs = materialise(pairs, "join-star")
+    n_pairs = pairs.count()
+    if not n_pairs:
+        return None
     sizes = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("size")).select("hub", "texts", _blocks("texts", "size", p).alias("blocks"))
-    dealt = join_heavy(pairs, sizes, ["hub"], F.col("texts") > heavy_above(pairs.count()))
+    dealt = join_heavy(pairs, sizes, ["hub"], F.col("texts") > heavy_above(n_pairs))
     near = dealt.select(F.col("hub").alias("group"), F.lit(0).alias("lo"), _deal("blocks").alias("hi"), F.lit(1).alias("side"), "id")
     own = sizes.select(F.col("hub").alias("group"), F.lit(0).alias("lo"), _to("blocks").alias("hi"), F.lit(0).alias("side"), F.col("hub").alias("id"))
     return near.unionByName(own).withColumn("cls", F.col("id"))
@@ -317,15 +326,18 @@ def _classes(docs: DataFrame, p: JoinParams, count: bool) -> tuple[DataFrame, Da
     cands = texts.join(trie.select("rep").distinct(), "rep").groupBy("rep").agg(F.min("key").alias("key"), F.sum("copies").alias("copies"))
     sets = materialise(shingle_sets(docs, cands, p), "join-sets")
     state = sets.select("id", "n", F.col("id").alias("cls"))
-    edges = None
-    for level in [*p.levels, 0]:
+    comps = edges = materialise(sets.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0), "join-found")
+    comps = comps.select(F.col("a").alias("id"), F.col("b").alias("comp"))
+    for level, one in [*((d, d > p.matched) for d in p.levels), (0, False)]:
         here = trie.join(state, F.col("rep") == F.col("id")).drop("rep")
-        tiles = star_tiles(here, level, rows, p) if level else open_tiles(here, p.matched, rows, p)
+        tiles = star_tiles(here, level, rows, p, one) if level else open_tiles(here, p.matched, rows, p)
+        if tiles is None:
+            continue
         found = verified(tiles, sets, p).where(F.col("id") != F.col("label")).select(F.col("id").alias("a"), F.col("label").alias("b"))
         found = materialise(found, "join-found")
-        if level == 0 and found.isEmpty():
-            break
-        edges = found if edges is None else edges.unionAll(found)
+        if found.isEmpty():
+            continue
+        edges = edges.unionAll(found)
         comps = materialise(components(edges), "join-classes")
         state = sets.select("id", "n").join(comps, "id", "left").select("id", "n", F.coalesce("comp", "id").alias("cls"))
     label = comps.select(F.col("id").alias("rep"), F.col("comp").alias("class_id"))

@@ -450,7 +450,7 @@ def training_rows(sample: DataFrame, voter: Voters, posterior: dict[int, float],
             yield pd.DataFrame({"label": pdf["label"], "pattern": pdf["pattern"], "soft": pdf["soft"], "kept": out})
 
     rows = voted.mapInPandas(keep, "label int, pattern long, soft double, kept array<int>").toPandas()
-    rows["kept"] = [tuple(k) for k in rows["kept"]]
+    rows["kept"] = [np.asarray(k, dtype=">u4").tobytes() for k in rows["kept"]]
     return rows.sort_values(["label", "pattern", "kept"], ignore_index=True), chosen  # one order, whatever the partitions
 
 
@@ -474,7 +474,7 @@ def _fit(docs: DataFrame, labels: DataFrame, p: ToxicParams) -> ToxicModel:
 
     rows, chosen = training_rows(sample, voter, posterior, p)
     votes = bits_of(rows["pattern"])
-    index = [np.concatenate([np.array(k, dtype=np.int64), len(chosen) + np.flatnonzero(v)]) for k, v in zip(rows["kept"], votes, strict=True)]
+    index = [np.concatenate([np.frombuffer(k, dtype=">u4").astype(np.int32), len(chosen) + np.flatnonzero(v).astype(np.int32)]) for k, v in zip(rows["kept"], votes, strict=True)]
     start = np.cumsum([0, *[len(k) for k in index[:-1]]])
     w, bias = fit_linear(np.concatenate(index), start, rows["soft"].to_numpy(float), np.ones(len(rows)), len(chosen) + votes.shape[1], p.l2 + 0.3 / len(rows), p.steps)
     given = np.flatnonzero(rows["label"] >= 0)
