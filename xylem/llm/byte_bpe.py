@@ -42,9 +42,13 @@ class ByteBpe:
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.longest = max(map(len, ranks))
+        self.reach: dict[bytes, int] = {}  # length of the longest token that ends with two bytes
+        for token in ranks:
+            if len(token) > 1:
+                self.reach[token[-2:]] = max(len(token), self.reach.get(token[-2:], 0))
         self.halves: dict[int, tuple[int, int]] = {}
-        self.compatible = Cache(self._compatible, 400_000)
-        self.packed = Cache(self._packed, 400_000)
+        self.compatible = Cache(self._compatible, 300_000)
+        self.packed = Cache(self._packed, 300_000)
 
     def half(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; None for a single byte."""
@@ -91,7 +95,7 @@ class ByteBpe:
         return last
 
     def _last(self, raw: bytes, end: int, last: list[int], ranks: dict, ok: Cache) -> int:
-        for start in range(max(0, end - self.longest), end):
+        for start in range(max(0, end - self.reach.get(raw[end - 2 : end], 1)), end):
             token = ranks.get(raw[start:end])
             if token is not None and (start == 0 and self._whole(token) or start > 0 and ok[(last[start - 1], token)]):
                 return token

@@ -50,7 +50,7 @@ class UnigramCounter:
         self.unknown = min((s for _, s in pieces), default=0.0) - UNKNOWN_COST
         self.apart = not any(MARK in p.lstrip(MARK) for p, _ in pieces)
         self.words = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-        self.cache = Cache(self.viterbi, 500_000)
+        self.cache = Cache(self.viterbi, 400_000)
 
     def viterbi(self, text: str) -> int:
         """Pieces of the best segmentation of a marked text."""
