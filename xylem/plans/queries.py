@@ -1,6 +1,6 @@
 """Queries: documents made from tables, shredded, and run through the operators; with SQL on the tables as oracle.
 
-The node tables of a session are persisted, so that queries over one corpus share the shredding.
+The node tables of the five corpora last asked for are persisted, so that queries over one corpus share the shredding.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ from ..sources.shred import shred
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-_held: dict[tuple[str, str, str], DataFrame] = {}
+HELD = 5
+_held: dict[tuple[str, str, str], DataFrame] = {}  # in order of last use
 
 
 def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
@@ -79,7 +80,12 @@ def nodes(spark: SparkSession, d: str, corpus: str) -> DataFrame:
             "letters": lambda: letters(table(spark, d, "customer")),
             "suppliers": lambda: supplier_documents(table(spark, d, "supplier")),
         }[corpus]()
+        for old in list(_held)[: max(0, len(_held) - HELD + 1)]:
+            if old[0] == key[0]:
+                _held[old].unpersist()
+            del _held[old]
         _held[key] = shred(made).persist(StorageLevel.MEMORY_AND_DISK)
+    _held[key] = _held.pop(key)
     return _held[key]
 
 
