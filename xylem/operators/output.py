@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values as V
+from ..sources.store import materialise
 
 
 def quoted(x: Column) -> Column:
@@ -59,8 +60,9 @@ class Output:
         return last.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("map"))
 
     def to_json(self, include_attributes: bool = True, include_metadata: bool = False, flatten_single: bool = True, simplify_leaves: bool = True) -> DataFrame:
-        """OU05: doc_id and json; levels are folded into their parents from the deepest up. null where nothing is selected."""
-        sub = self.axis("descendant-or-self").rows.drop("at")
+        """OU05: doc_id and json; levels are folded into their parents from the deepest up, each written to the shared
+        folder. null where nothing is selected."""
+        sub = materialise(self.axis("descendant-or-self").rows.select("doc_id", "pre", "parent_pre", "depth", "ord", "name", "path", "text", "num", "bool", "attrs"), "json-nodes")
         deepest = sub.agg(F.max("depth")).first()[0] or 0
         number = V.number_text(F.col("num"))
         scalar = F.when(F.col("num").isNotNull(), number).when(F.col("bool").isNotNull(), F.col("bool").cast("string")).when(F.col("text").isNotNull(), quoted(F.col("text")))
@@ -84,8 +86,8 @@ class Output:
                 kids = items.groupBy(F.col("doc_id").alias("_d"), F.col("parent_pre").alias("_p")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "entry"))), lambda s: s["entry"]), ",").alias("kids"))
                 level = level.join(kids, (F.col("doc_id") == F.col("_d")) & (F.col("pre") == F.col("_p")), "left").drop("_d", "_p")
             done_here = level.withColumn("json", F.when(F.col("kids").isNull(), leaf).otherwise(obj(attrs, meta, F.col("kids"), text_part))).select("doc_id", "pre", "parent_pre", "ord", "name", "json")
-            done = done_here
-            tops = self.rows.where(F.col("depth") == depth).select("doc_id", "pre", "at").join(done_here.select("doc_id", "pre", "json"), ["doc_id", "pre"])
+            done = materialise(done_here, "json")  # a level is read twice: by the one above and by what is selected
+            tops = self.rows.where(F.col("depth") == depth).select("doc_id", "pre", "at").join(done.select("doc_id", "pre", "json"), ["doc_id", "pre"])
             found = tops if depth == deepest else found.unionByName(tops)  # noqa: F821
         sorted_ = F.transform(F.array_sort(F.collect_list(F.struct("at", "json"))), lambda s: s["json"])
         out = found.groupBy("doc_id").agg(sorted_.alias("js"))
