@@ -22,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class ByteBpe:
     """Encoder and decoder of one rank file."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cached: int = 300_000):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.longest = max(map(len, ranks))
@@ -47,8 +48,8 @@ class ByteBpe:
             if len(token) > 1:
                 self.reach[token[-2:]] = max(len(token), self.reach.get(token[-2:], 0))
         self.halves: dict[int, tuple[int, int]] = {}
-        self.compatible = Cache(self._compatible, 300_000)
-        self.packed = Cache(self._packed, 300_000)
+        self.compatible = Cache(self._compatible, cached)
+        self.packed = Cache(self._packed, cached)
 
     def half(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; None for a single byte."""
@@ -161,26 +162,26 @@ class Prefixes:
 
 
 @lru_cache(4)
-def load(path: str, pattern: str) -> ByteBpe:
-    return ByteBpe(read_ranks(path), pattern)
+def load(path: str, pattern: str, cached: int = 300_000) -> ByteBpe:
+    return ByteBpe(read_ranks(path), pattern, cached)
 
 
 TOKENS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def token_digests(text: Column, path: str, pattern: str, keep_ids: bool = False) -> Column:
-    """struct of the number of ids, digests of ids and of the decoded bytes; with keep_ids also the ids."""
-    schema = TOKENS + (", ids array<int>" if keep_ids else "")
+def digested(bpe: ByteBpe, text: str | None) -> tuple:
+    """Number of ids of a text, digests of the ids and of the bytes they decode to, and the ids."""
+    packed = bpe.encode_packed(text)
+    ids = np.frombuffer(packed, dtype="<u4")
+    return len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(bpe.decode(ids.tolist())).hexdigest(), ids.astype(np.int32)
 
-    @F.pandas_udf(schema)
+
+def token_digests(text: Column, path: str, pattern: str) -> Column:
+    """struct of the number of ids, digests of ids and of the decoded bytes."""
+    @F.pandas_udf(TOKENS)
     def digests(texts: pd.Series) -> pd.DataFrame:
-        bpe, rows = load(path, pattern), []
-        for text in texts:
-            packed = bpe.encode_packed(text)
-            ids = np.frombuffer(packed, dtype="<u4")
-            row = (len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(bpe.decode(ids.tolist())).hexdigest())
-            rows.append((*row, ids.astype(np.int32)) if keep_ids else row)
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+        bpe = load(path, pattern)
+        return pd.DataFrame([digested(bpe, t)[:3] for t in texts], columns=[c.split()[0] for c in TOKENS.split(", ")])
 
     return digests(text)
 
@@ -190,9 +191,19 @@ def tokenize(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return docs.select("doc_id", token_digests(F.col("text"), path, pattern).alias("t")).select("doc_id", "t.*")
 
 
-def with_tokens(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, both digests and the ids themselves, of every whole text."""
-    return docs.select("doc_id", token_digests(F.col("text"), path, pattern, True).alias("t")).select("doc_id", "t.*")
+def with_tokens(docs: DataFrame, path: str, pattern: str, rows: int = 256, cached: int = 100_000) -> DataFrame:
+    """doc_id, n_tokens, both digests and the ids themselves, of every whole text; `rows` of them are held at a time."""
+    def encode(batches):
+        bpe = load(path, pattern, cached)
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                n, ids_sha, text_sha, ids = zip(*[digested(bpe, t) for t in part.column(1).to_pylist()], strict=True)
+                columns = [part.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha), pa.array(ids, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
+
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {TOKENS}, ids array<int>"
+    return docs.select("doc_id", "text").mapInArrow(encode, schema)
 
 
 def decode_ids(df: DataFrame, ids: str, path: str, pattern: str) -> DataFrame:

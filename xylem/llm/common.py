@@ -115,7 +115,7 @@ class Cache(dict):
     Keys of more than `longest` characters are not held, and it starts afresh when it holds `most`, so that its size has a bound.
     """
 
-    def __init__(self, make, most: int = 300_000, longest: int = 64):
+    def __init__(self, make, most: int = 150_000, longest: int = 64):
         super().__init__()
         self.make, self.most, self.longest = make, most, longest
 
