@@ -32,3 +32,10 @@ def test_query_equals_sql(spark, db, name):
     assert sorted(got.columns) == sorted(want.columns)
     assert canonical(got) == canonical(want)
     assert len(want) or name in {"xp_sum", "xp_count", "xp_no_child"}
+
+
+@pytest.mark.parametrize("name", [
+    "ancestor_axis", "append_rename", "axes", "namespace_writer", "walks", "replace_and_remove", "orders_of_nodes", "remove_elements", "to_json", "typed_members", "schema_elements", "schema_tables", "dangling_refs"])
+def test_no_join_passes_through_the_driver(spark, name):
+    """Tables that grow with the input are small here, so that Spark would broadcast them if it were left to."""
+    assert "Broadcast" not in QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()

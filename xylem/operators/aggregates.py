@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-
+from ..sources.store import growing
 
 
 def value() -> Column:
@@ -26,7 +26,7 @@ class Aggregates:
         """doc_id and aggregates of each document; null or what coalesce gives where nothing is selected."""
         docs = self.nodes.where(F.col("parent_pre").isNull()).select("doc_id")
         got = self.rows.groupBy("doc_id").agg(*[c.alias(k) for k, c in columns.items()])
-        return docs.join(got, "doc_id", "left")
+        return growing(docs.join(got, "doc_id", "left"))
 
     def _filled(self, name: str, column: Column, missing) -> DataFrame:
         return self.per_document(**{name: column}).withColumn(name, F.coalesce(name, F.lit(missing)))
@@ -106,7 +106,7 @@ class Aggregates:
         per = self.rows.select("doc_id", "at", value().alias("v")).where(F.col("v").isNotNull()).groupBy("doc_id", "v").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("seen"))
         best = per.groupBy("doc_id").agg(F.min_by("v", F.struct(-F.col("n"), "seen")).alias("mode"))
         docs = self.nodes.where(F.col("parent_pre").isNull()).select("doc_id")
-        return docs.join(best, "doc_id", "left")
+        return growing(docs.join(best, "doc_id", "left"))
 
     def variance(self) -> DataFrame:
         """AG19: of the population."""

@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..sources.store import materialise
+from ..sources.store import growing, materialise
 from .selection import Selection
 
 
 def _marked(sel: Selection) -> DataFrame:
     """The node table with `_sel`, whether a node is selected."""
     chosen = sel.rows.select(F.col("doc_id").alias("_d"), F.col("pre").alias("_p")).distinct().withColumn("_hit", F.lit(True))
-    out = sel.nodes.join(chosen, (F.col("doc_id") == F.col("_d")) & (F.col("pre") == F.col("_p")), "left")
+    out = sel.nodes.join(growing(chosen), (F.col("doc_id") == F.col("_d")) & (F.col("pre") == F.col("_p")), "left")
     return out.withColumn("_sel", F.coalesce("_hit", F.lit(False))).drop("_d", "_p", "_hit")
 
 
@@ -73,6 +73,7 @@ def update_elements(sel: Selection, *, name: str | None = None, namespace_uri: s
 
 def _paths(nodes: DataFrame) -> DataFrame:
     """Recomputes paths from names, by an equi-join on exploded ancestors."""
+    nodes = growing(nodes)
     names = nodes.select(F.col("doc_id").alias("_d"), F.col("pre").alias("_p"), F.col("name").alias("_name"))
     up = nodes.select("doc_id", "pre", F.posexplode(F.concat(F.array("pre"), "anc_pres")).alias("level", "anc"))
     met = up.join(names, (F.col("doc_id") == F.col("_d")) & (F.col("anc") == F.col("_p")))
@@ -94,7 +95,7 @@ def reencode(rows: DataFrame, columns: list[str]) -> DataFrame:
     up = up.join(ids, (F.col("doc_id") == F.col("_d")) & (F.col("_anc") == F.col("_u")))
     chains = up.groupBy("doc_id", "_pre").agg(F.transform(F.array_sort(F.collect_list(F.struct("_level", "_new"))), lambda s: s["_new"]).alias("_chain"))
     below = up.groupBy("doc_id", F.col("_new").alias("_pre")).agg(F.count(F.lit(1)).alias("_below"), F.count_if(F.col("_level") == 0).cast("int").alias("_kids"))
-    out = rows.withColumn("_pre", F.col("pre")).join(chains, ["doc_id", "_pre"], "left").join(below, ["doc_id", "_pre"], "left")
+    out = rows.withColumn("_pre", F.col("pre")).join(chains, ["doc_id", "_pre"], "left").join(growing(below), ["doc_id", "_pre"], "left")
     out = out.withColumns({
         "anc_pres": F.coalesce("_chain", F.array().cast("array<bigint>")), "end_pre": F.col("pre") + F.coalesce("_below", F.lit(0)), "n_children": F.coalesce("_kids", F.lit(0))})
     out = out.withColumns({"parent_pre": F.try_element_at("anc_pres", F.lit(1)), "depth": F.size("anc_pres")})
@@ -115,8 +116,8 @@ def _without_subtrees(sel: Selection, whole: bool) -> DataFrame:
     gone = sel.rows.select(F.col("doc_id").alias("_d"), F.col("pre").alias("_p")).distinct()
     line = F.concat(F.array("pre"), F.col("anc_pres")) if whole else F.col("anc_pres")
     lines = sel.nodes.select("doc_id", "pre", F.explode(line).alias("_anc"))
-    hit = lines.join(gone, (F.col("doc_id") == F.col("_d")) & (F.col("_anc") == F.col("_p"))).select("doc_id", "pre").distinct()
-    return sel.nodes.join(hit, ["doc_id", "pre"], "left_anti").select(*sel.nodes.columns)
+    hit = lines.join(growing(gone), (F.col("doc_id") == F.col("_d")) & (F.col("_anc") == F.col("_p"))).select("doc_id", "pre").distinct()
+    return sel.nodes.join(growing(hit), ["doc_id", "pre"], "left_anti").select(*sel.nodes.columns)
 
 
 def remove_elements(sel: Selection) -> DataFrame:

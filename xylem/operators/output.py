@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..sources.store import materialise
+from ..sources.store import growing, materialise
 
 
 def quoted(x: Column) -> Column:
@@ -94,7 +94,7 @@ class Output:
         whole = F.concat(F.lit("["), F.array_join("js", ","), F.lit("]"))
         json = F.when((F.size("js") == 1) & F.lit(flatten_single), F.element_at("js", 1)).otherwise(whole)
         docs = self.nodes.where(F.col("parent_pre").isNull()).select("doc_id")
-        return docs.join(out.select("doc_id", json.alias("json")), "doc_id", "left")
+        return growing(docs.join(out.select("doc_id", json.alias("json")), "doc_id", "left"))
 
     def print_lines(self, include_attributes: bool = True, include_values: bool = True) -> DataFrame:
         """OU06: doc_id and an indented text of the selected nodes."""

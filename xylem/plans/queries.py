@@ -17,6 +17,7 @@ from ..operators.selection import attribute
 from ..sources import bind as B
 from ..sources import corpora, schema, soap
 from ..sources.shred import shred
+from ..sources.store import growing
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -457,7 +458,7 @@ def append_rename(spark, d):
     kids = select(n).find("part").children().rows.groupBy("doc_id", "parent_pre").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "name"))), lambda s: s["name"]), ",").alias("children"), F.max(F.when(F.col("path") == "parts/part/tag", F.col("text"))).alias("tag"))
     owner = select(n).find("part").rows.select("doc_id", F.col("pre").alias("parent_pre"), attribute("id").cast("bigint").alias("id"))
-    return keyed(kids.join(owner, ["doc_id", "parent_pre"]), "run", "id", "children", "tag")
+    return keyed(kids.join(growing(owner), ["doc_id", "parent_pre"]), "run", "id", "children", "tag")
 
 
 @query("SELECT CAST(p_partkey // 50 AS BIGINT) AS run, count(*) AS cleared, CAST(sum(CASE WHEN p_size > 25 THEN 1 ELSE p_size END) AS DOUBLE) AS total FROM part GROUP BY 1")
@@ -517,7 +518,7 @@ def typed_write(spark, d):
 @query("SELECT o_orderkey AS id FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_mktsegment = 'BUILDING')")
 def dangling_refs(spark, d):
     known = sel(spark, d, "customers").where_attribute("seg", "BUILDING").rows.select(attribute("id").cast("bigint").alias("c"))
-    return table(spark, d, "orders").join(known, F.col("o_custkey") == F.col("c"), "left_anti").select(F.col("o_orderkey").alias("id"))
+    return table(spark, d, "orders").join(growing(known), F.col("o_custkey") == F.col("c"), "left_anti").select(F.col("o_orderkey").alias("id"))
 
 
 @query("SELECT CAST(n_nationkey AS BIGINT) AS nation, CASE WHEN n_nationkey % 2 = 0 THEN '1.1' ELSE '1.2' END AS dialect, 'Client' AS code, n_name AS reason, CASE WHEN n_nationkey % 2 = 0 THEN NULL ELSE 'r' END AS actor, 'why' AS detail FROM nation")

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from ..operators.selection import Selection
 from .shred import shred
+from .store import growing
 
 XSI = "http://www.w3.org/2001/XMLSchema-instance"
 NIL = "@_xsi:nil"
@@ -294,7 +295,7 @@ def declared(nodes: DataFrame) -> DataFrame:
     """BI28: a node table whose elements declare only what is not in scope already: `xmlns` attributes that repeat the
     parent's scope go, and an empty default namespace stays only where it ends one."""
     up = nodes.select(F.col("doc_id").alias("_d"), F.col("pre").alias("_p"), F.col("ns_scope").alias("_scope"))
-    met = nodes.join(up, (F.col("doc_id") == F.col("_d")) & (F.col("parent_pre") == F.col("_p")), "left")
+    met = nodes.join(growing(up), (F.col("doc_id") == F.col("_d")) & (F.col("parent_pre") == F.col("_p")), "left")
     key = lambda k: F.when(k == "xmlns", "").otherwise(F.substr(k, F.lit(7)))
     known = lambda k, v: F.coalesce(F.try_element_at("_scope", key(k)), F.lit("")) == v
     needed = F.map_filter("attrs", lambda k, v: ~((k == "xmlns") | k.startswith("xmlns:")) | ~known(k, v))

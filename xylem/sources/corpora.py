@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import escape_attribute, escape_text
+from .store import growing
 
 
 def money(x: Column) -> Column:
@@ -36,7 +37,7 @@ def customer_documents(customer: DataFrame, orders: DataFrame) -> DataFrame:
         id=F.col("o_orderkey"), status=F.col("o_orderstatus"), priority=F.col("o_orderpriority"))
     inner = gathered(orders, "o_custkey", "o_orderkey", order)
     body = F.concat(leaf("name", F.col("c_name")), leaf("acctbal", money(F.col("c_acctbal"))), F.coalesce("_inner", F.lit("")))
-    joined = customer.join(inner, customer["c_custkey"] == inner["_k"], "left")
+    joined = customer.join(growing(inner), customer["c_custkey"] == inner["_k"], "left")
     return joined.select(F.col("c_custkey").cast("string").alias("doc_id"), element("customer", body, id=F.col("c_custkey"), seg=F.col("c_mktsegment"), nation=F.col("c_nationkey")).alias("xml"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from ..operators.selection import attribute, select
 from .bind import XSD_TYPES
 from .shred import shred
+from .store import growing
 
 XSD = "http://www.w3.org/2001/XMLSchema"
 WSDL = "http://schemas.xmlsoap.org/wsdl/"
@@ -43,9 +44,9 @@ def _owner(nodes: DataFrame, rows: DataFrame) -> DataFrame:
     """Adds `owner`: the name of the nearest named ancestor of each row."""
     up = rows.select("doc_id", F.col("pre").alias("_pre"), F.posexplode("anc_pres").alias("_level", "_anc"))
     named = nodes.select(F.col("doc_id").alias("_d"), F.col("pre").alias("_p"), attribute("name").alias("_name")).where(F.col("_name").isNotNull())
-    near = up.join(named, (F.col("doc_id") == F.col("_d")) & (F.col("_anc") == F.col("_p"))).groupBy("doc_id", "_pre").agg(F.min_by("_name", "_level").alias("owner"))
+    near = up.join(growing(named), (F.col("doc_id") == F.col("_d")) & (F.col("_anc") == F.col("_p"))).groupBy("doc_id", "_pre").agg(F.min_by("_name", "_level").alias("owner"))
     near = near.withColumnsRenamed({"doc_id": "_doc", "_pre": "_node"})
-    return rows.join(near, (F.col("pre") == F.col("_node")) & (F.col("doc_id") == F.col("_doc")), "left").drop("_doc", "_node")
+    return rows.join(growing(near), (F.col("pre") == F.col("_node")) & (F.col("doc_id") == F.col("_doc")), "left").drop("_doc", "_node")
 
 
 def elements(nodes: DataFrame) -> DataFrame:
@@ -58,8 +59,8 @@ def elements(nodes: DataFrame) -> DataFrame:
     rows = _owner(nodes, _xs(nodes, "element", "attribute").rows)
     around = rows.select("doc_id", F.col("pre").alias("_pre"), F.posexplode("anc_pres").alias("_level", "_anc"))
     model = _xs(nodes, "sequence", "choice", "all").rows.select(F.col("doc_id").alias("_d"), F.col("pre").alias("_p"), F.col("local_name").alias("_model"))
-    near = around.join(model, (F.col("doc_id") == F.col("_d")) & (F.col("_anc") == F.col("_p"))).groupBy(F.col("doc_id").alias("_doc"), F.col("_pre").alias("_node")).agg(F.min_by("_model", "_level").alias("compositor"))
-    rows = rows.join(near, (F.col("pre") == F.col("_node")) & (F.col("doc_id") == F.col("_doc")), "left").drop("_doc", "_node")
+    near = around.join(growing(model), (F.col("doc_id") == F.col("_d")) & (F.col("_anc") == F.col("_p"))).groupBy(F.col("doc_id").alias("_doc"), F.col("_pre").alias("_node")).agg(F.min_by("_model", "_level").alias("compositor"))
+    rows = rows.join(growing(near), (F.col("pre") == F.col("_node")) & (F.col("doc_id") == F.col("_doc")), "left").drop("_doc", "_node")
     rows = rows.withColumn("place", F.when(F.col("compositor").isNotNull(), F.row_number().over(W.partitionBy("doc_id", "owner", F.col("compositor").isNotNull()).orderBy("pre"))))
     many = attribute("maxOccurs")
     return rows.select(
@@ -74,7 +75,7 @@ def types(nodes: DataFrame) -> DataFrame:
     kinds = _owner(nodes, _xs(nodes, "complexType", "simpleType").rows)
     steps = _xs(nodes, "extension", "restriction", "list", "union").rows
     base = steps.select(F.col("doc_id").alias("_d"), F.explode("anc_pres").alias("_anc"), F.col("local_name").alias("derived_by"), F.coalesce(attribute("base"), attribute("itemType"), attribute("memberTypes")).alias("base"), F.col("pre").alias("_at"))
-    met = kinds.join(base, (F.col("doc_id") == F.col("_d")) & (F.col("pre") == F.col("_anc")), "left")
+    met = kinds.join(growing(base), (F.col("doc_id") == F.col("_d")) & (F.col("pre") == F.col("_anc")), "left")
     return met.groupBy("doc_id", "pre", F.coalesce(attribute("name"), F.col("owner")).alias("name"), F.col("local_name").alias("kind")).agg(F.min_by("derived_by", "_at").alias("derived_by"), F.min_by("base", "_at").alias("base"))
 
 
@@ -82,7 +83,7 @@ def facets(nodes: DataFrame) -> DataFrame:
     """CG04: (owner, base, facet, values) of each restriction; several patterns of one step are alternatives."""
     rows = _owner(nodes, _xs(nodes, *FACETS).rows)
     up = nodes.select(F.col("doc_id").alias("_d"), F.col("pre").alias("_p"), attribute("base").alias("base"))
-    rows = rows.join(up, (F.col("doc_id") == F.col("_d")) & (F.col("parent_pre") == F.col("_p")))
+    rows = rows.join(growing(up), (F.col("doc_id") == F.col("_d")) & (F.col("parent_pre") == F.col("_p")))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("pre", attribute("value").alias("v")))), lambda s: s["v"])
     return rows.groupBy("doc_id", "parent_pre", "owner", "base", F.col("local_name").alias("facet")).agg(listed.alias("values")).drop("parent_pre")
 
@@ -120,14 +121,14 @@ def operations(nodes: DataFrame) -> DataFrame:
     """CG07, CG24: operations of a WSDL with messages, fault and action."""
     ops = select(nodes)._search((F.col("ns_uri") == WSDL) & (F.col("local_name") == "operation")).rows
     up = nodes.select(F.col("doc_id").alias("_d"), F.col("pre").alias("_p"), F.col("local_name").alias("holder"), attribute("name").alias("port_type"))
-    ops = ops.join(up, (F.col("doc_id") == F.col("_d")) & (F.col("parent_pre") == F.col("_p"))).drop("_d", "_p")
+    ops = ops.join(growing(up), (F.col("doc_id") == F.col("_d")) & (F.col("parent_pre") == F.col("_p"))).drop("_d", "_p")
     ops = ops.select("doc_id", F.col("pre").alias("o_pre"), "holder", "port_type", attribute("name").alias("operation"))
     kids = nodes.select(F.col("doc_id").alias("_d"), F.col("parent_pre").alias("_p"), F.col("local_name").alias("part"), attribute("message").alias("message"), attribute("soapAction").alias("action"), attribute("style").alias("style"))
-    met = ops.join(kids, (F.col("doc_id") == F.col("_d")) & (F.col("o_pre") == F.col("_p")), "left")
+    met = ops.join(growing(kids), (F.col("doc_id") == F.col("_d")) & (F.col("o_pre") == F.col("_p")), "left")
     pick = lambda part, x: F.max(F.when(F.col("part") == part, F.col(x)))
     ports = met.where(F.col("holder") == "portType").groupBy("doc_id", "port_type", "operation").agg(pick("input", "message").alias("input"), pick("output", "message").alias("output"), pick("fault", "message").alias("fault"))
     bindings = met.where(F.col("holder") == "binding").groupBy("doc_id", "operation").agg(pick("operation", "action").alias("action"), pick("operation", "style").alias("style"))
-    return ports.join(bindings, ["doc_id", "operation"], "left")
+    return ports.join(growing(bindings), ["doc_id", "operation"], "left")
 
 
 def sanitised(name: str) -> str:
