@@ -269,3 +269,34 @@ def test_stream_of_documents(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("nodes_out").count() == 2
+
+
+def test_numbers_are_worked_out_after_what_is_kept(spark):
+    """Typed values cost two patterns a node, where only those that a query asks for need them."""
+    kept = []
+    n = shred(docs(spark, "<r><i>1</i><i>true</i></r>"), keep=lambda parsed: kept.append(parsed) or parsed)
+    assert "num" not in kept[0].columns and "pre" in kept[0].columns
+    assert [(r.num, r.bool) for r in n.orderBy("pre").collect()] == [(None, None), (1.0, None), (None, True)]
+
+
+def test_batches_of_good_and_bad_documents():
+    from xylem.sources.shred import _Builder
+
+    b = _Builder(True)
+    b.read("a", '<a xml:lang="en"><b k="1">x</b><!-- c --><b/></a>')
+    with pytest.raises(ValueError, match="mismatched"):
+        b.read("b", '<a xmlns="u"><c>text<![CDATA[ more ]]></a>')
+    b.error("b", "mismatched")
+    b.read("c", '<p:a xmlns:p="u"><p:d/></p:a>')
+    got = [(r["doc_id"], r["pre"], r["end_pre"], r["name"], r["ns_uri"], r["lang"], r["n_siblings"], r["comments"], r["_error"]) for r in b.batch(None).to_pylist()]
+    assert got == [
+        ("a", 0, 2, "a", None, "en", 1, ["c"], None), ("a", 1, 1, "b", None, "en", 2, [], None), ("a", 2, 2, "b", None, "en", 2, [], None),
+        ("c", 0, 1, "p:a", "u", None, 1, [], None), ("c", 1, 1, "p:d", "u", None, 1, [], None), ("b", None, None, None, None, None, None, None, "mismatched")]
+    assert b.batch(None).num_rows == 0
+
+
+def test_small_tables_are_spread_before_they_are_parsed(spark):
+    from xylem.plans import queries
+
+    customers = spark.read.parquet("/root/testdata/sf0.001/customer.parquet").coalesce(1)
+    assert queries.namespaced(customers).rdd.getNumPartitions() > 1 and queries.letters(customers).rdd.getNumPartitions() > 1

@@ -23,7 +23,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 HELD = 5
-_held: dict[tuple[str, str, str], DataFrame] = {}  # in order of last use
+_held: dict[tuple[str, str, str], tuple[DataFrame, DataFrame]] = {}  # nodes, and what of them is persisted; in order of last use
 
 
 def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
@@ -49,7 +49,7 @@ def namespaced(customer: DataFrame, repeated: bool = False) -> DataFrame:
         corpora.leaf("n:name", F.col("c_name"), **again), corpora.element("region", key, xmlns=F.lit("urn:region")), F.when(F.col("c_custkey") % 3 == 0, vip).otherwise(""),
         corpora.leaf("plain", F.col("c_custkey"), xml_lang=F.lit("fr"), **({"xmlns": F.lit("")} if repeated else {})))
     root = corpora.element("n:customer", body, xmlns_n=F.lit("urn:customer"), xmlns_x=F.lit("urn:extra"), xml_lang=lang)
-    return customer.select(F.col("c_custkey").cast("string").alias("doc_id"), root.alias("xml"))
+    return corpora.spread(customer, "c_custkey").select(F.col("c_custkey").cast("string").alias("doc_id"), root.alias("xml"))
 
 
 def letters(customer: DataFrame) -> DataFrame:
@@ -57,7 +57,7 @@ def letters(customer: DataFrame) -> DataFrame:
     head = F.lit('<?xml version="1.0" encoding="UTF-8"?><!DOCTYPE letter>\n')
     body = F.concat(
         F.lit("<!-- "), F.col("c_mktsegment"), F.lit(" -->Dear "), corpora.leaf("b", F.col("c_name")), F.lit(", you owe "), corpora.leaf("i", corpora.money(F.col("c_acctbal"))), F.lit("<![CDATA[< all >]]><!-- end -->"))
-    return customer.select(F.col("c_custkey").cast("string").alias("doc_id"), F.concat(head, corpora.element("letter", body, id=F.col("c_custkey"))).alias("xml"))
+    return corpora.spread(customer, "c_custkey").select(F.col("c_custkey").cast("string").alias("doc_id"), F.concat(head, corpora.element("letter", body, id=F.col("c_custkey"))).alias("xml"))
 
 
 def supplier_documents(supplier: DataFrame) -> DataFrame:
@@ -83,11 +83,12 @@ def nodes(spark: SparkSession, d: str, corpus: str) -> DataFrame:
         }[corpus]()
         for old in list(_held)[: max(0, len(_held) - HELD + 1)]:
             if old[0] == key[0]:
-                _held[old].unpersist()
+                _held[old][1].unpersist()
             del _held[old]
-        _held[key] = shred(made).persist(StorageLevel.MEMORY_AND_DISK)
+        kept: list[DataFrame] = []
+        _held[key] = shred(made, keep=lambda parsed: kept.append(parsed.persist(StorageLevel.MEMORY_AND_DISK)) or kept[0]), kept[0]
     _held[key] = _held.pop(key)
-    return _held[key]
+    return _held[key][0]
 
 
 def sel(spark: SparkSession, d: str, corpus: str) -> Selection:
@@ -483,7 +484,7 @@ ORDER = B.Record("order", (
 
 
 def order_texts(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders")
+    o = corpora.spread(table(spark, d, "orders"), "o_orderkey")
     speed = F.when(F.col("o_orderpriority").startswith("1"), "<urgent>1</urgent>").when(F.col("o_orderpriority").startswith("2"), "<urgent>true</urgent><slow>0</slow>").otherwise("")
     body = F.concat(
         corpora.leaf("total", corpora.money(F.col("o_totalprice"))), F.when(F.col("o_orderkey") % 5 != 0, corpora.leaf("date", F.date_format("o_orderdate", "yyyy-MM-dd"))).otherwise(""),

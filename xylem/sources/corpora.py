@@ -9,6 +9,11 @@ from ..functions.values import escape_attribute, escape_text
 from .store import growing
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df by its key over as many tasks as a shuffle has: a small file becomes large texts, parsed at far greater cost."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def money(x: Column) -> Column:
     return x.cast("decimal(15,2)").cast("string")
 
