@@ -300,3 +300,44 @@ def test_small_tables_are_spread_before_they_are_parsed(spark):
 
     customers = spark.read.parquet("/root/testdata/sf0.001/customer.parquet").coalesce(1)
     assert queries.namespaced(customers).rdd.getNumPartitions() > 1 and queries.letters(customers).rdd.getNumPartitions() > 1
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_below_the_roots_neither_joins_nor_windows(spark, books):
+    s = select(books)
+    assert s.depth_first().once and s.descendants().distinct().once and not s.find("b").closest("p").once
+    for x in (s.depth_first(), s.children(), s.descendants().distinct(), s.breadth_first()):
+        assert "Join" not in plan(x.rows) and "Window" not in plan(x.rows)
+    by_join = s.where(F.lit(True))  # all roots too, but not known to be
+    for step in ("children", "descendants", "depth_first", "breadth_first"):
+        a, b = getattr(s, step)().rows.select("pre", "at").collect(), getattr(by_join, step)().rows.select("pre", "at").collect()
+        assert sorted((r.pre, r["at"]) for r in a) == sorted((r.pre, r["at"]) for r in b)
+
+
+def test_mode_of_equally_frequent_numbers_is_the_first_seen(spark):
+    texts = ["<r><i>3</i><i>1</i><i>1</i><i>3</i><i>2</i></r>", "<r><i>2</i><i>1</i><i>1</i></r>", "<r><j/></r>", "<r><i>x</i></r>"]
+    got = select(shred(docs(spark, *texts))).find("i").mode().orderBy("doc_id").collect()
+    assert [r.mode for r in got] == [3.0, 1.0, None, None]
+
+
+def test_aggregates_of_one_selection_need_one_join(spark):
+    from xylem.plans import QUERIES
+
+    for name in ("median_mode_variance", "texts_values", "all_any_exists", "first_last_at"):
+        assert plan(QUERIES[name](spark, "/root/testdata/sf0.001")).split("InMemoryRelation")[0].count("SortMergeJoin") == 1, name
+
+
+def test_first_last_at_of_short_and_empty_lists(spark):
+    s = select(shred(docs(spark, "<r><i>1</i><i>2</i></r>", "<r><i>5</i></r>", "<r/>"))).find("i")
+    assert [sorted((r.doc_id, r.num) for r in x.collect()) for x in (s.first(), s.last(), s.at(1), s.at(-2))] == [[("0", 1.0), ("1", 5.0)], [("0", 2.0), ("1", 5.0)], [("0", 2.0)], [("0", 1.0)]]
+
+
+def test_files_of_records_are_bounded(spark, tmp_path):
+    from xylem.sources.shred import read_xml, write_records
+
+    write_records(spark.range(25).repartition(1), f"{tmp_path}/x", "row", records_per_file=10)
+    found = select(read_xml(spark, f"{tmp_path}/x")).find("row").count().collect()
+    assert sorted(r["count"] for r in found) == [5, 10, 10]

@@ -19,6 +19,21 @@ def in_order(x: Column) -> Column:
     return F.transform(F.array_sort(pairs), lambda p: p["x"])
 
 
+def most_frequent(values: Column) -> Column:
+    """The most frequent of an array of numbers; of equally frequent ones, the first in it. One pass over its runs when sorted."""
+    start = F.struct(*[F.lit(None).cast(t).alias(k) for k, t in (("v", "double"), ("n", "int"), ("i", "int"), ("best", "double"), ("most", "int"), ("seen", "int"))])
+
+    def step(a: Column, p: Column) -> Column:
+        same = a["v"].eqNullSafe(p["v"])
+        n, i = F.when(same, a["n"] + 1).otherwise(1), F.when(same, a["i"]).otherwise(p["i"])
+        better = a["most"].isNull() | (n > a["most"]) | ((n == a["most"]) & (i < a["seen"]))
+        return F.struct(
+            p["v"].alias("v"), n.alias("n"), i.alias("i"), F.when(better, p["v"]).otherwise(a["best"]).alias("best"), F.when(better, n).otherwise(a["most"]).alias("most"), F.when(better, i).otherwise(a["seen"]).alias("seen"))
+
+    placed = F.array_sort(F.transform(values, lambda v, i: F.struct(v.alias("v"), i.cast("int").alias("i"))))
+    return F.aggregate(placed, start, step, lambda a: a["best"])
+
+
 class Aggregates:
     """Methods of a selection; documents with no selected node have a row too."""
 
@@ -103,10 +118,7 @@ class Aggregates:
 
     def mode(self) -> DataFrame:
         """AG18: the most frequent; of equally frequent ones, the first seen."""
-        per = self.rows.select("doc_id", "at", value().alias("v")).where(F.col("v").isNotNull()).groupBy("doc_id", "v").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("seen"))
-        best = per.groupBy("doc_id").agg(F.min_by("v", F.struct(-F.col("n"), "seen")).alias("mode"))
-        docs = self.nodes.where(F.col("parent_pre").isNull()).select("doc_id")
-        return growing(docs.join(best, "doc_id", "left"))
+        return self.per_document(mode=most_frequent(in_order(value())))
 
     def variance(self) -> DataFrame:
         """AG19: of the population."""
@@ -137,7 +149,7 @@ class Aggregates:
     def all_text(self) -> DataFrame:
         """AG25: for each selected node its own text and then its children's, in pre-order."""
         own = F.col("text")
-        sub = self._joined(lambda c, n: (n("pre") >= c("pre")) & (n("pre") <= c("end_pre")))
+        sub = self._below()
         rows = sub.rows.select("doc_id", F.slice("at", F.lit(1), F.size("at") - 1).alias("at"), "pre", own.alias("own"))
         joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pre", V.text_or_empty(F.col("own")).alias("own")))), lambda s: s["own"]), "")
         return rows.groupBy("doc_id", "at").agg(joined.alias("all_text"))

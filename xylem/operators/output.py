@@ -114,10 +114,10 @@ class Output:
 
     def to_xml_strings(self, declaration: bool = False, self_closing: bool = True) -> DataFrame:
         """MU08: the XML of each selected node's subtree."""
-        sub = self._joined(lambda c, n: (n("pre") >= c("pre")) & (n("pre") <= c("end_pre"))).rows
+        sub = self._below().rows
         sub = sub.withColumn("at", F.slice("at", F.lit(1), F.size("at") - 1))
         return serialise(sub, ["doc_id", "at"], declaration, self_closing)
 
     def to_xml(self, declaration: bool = False, self_closing: bool = True) -> DataFrame:
         """MU09: the XML of the first selected node of each document."""
-        return self.take(1).to_xml_strings(declaration, self_closing).select("doc_id", "xml")
+        return (self if self.rooted else self.take(1)).to_xml_strings(declaration, self_closing).select("doc_id", "xml")

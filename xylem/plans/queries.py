@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..operators import Selection, mutate, select
-from ..operators.selection import attribute
+from ..operators import Selection, aggregates, mutate, select
+from ..operators.selection import attribute, named
 from ..sources import bind as B
 from ..sources import corpora, schema, soap
 from ..sources.shred import shred
@@ -338,9 +338,9 @@ def to_map_reduce(spark, d):
     min(q.v) AS low, max(q.v) AS high, round(avg(q.v), 4) AS mean FROM q JOIN m ON m.k = q.k AND m.r = 1 GROUP BY 1""")
 def median_mode_variance(spark, d):
     s = sel(spark, d, "orders").find("qty")
-    one = s.median()
-    for other in (s.variance(), s.standard_deviation(), s.percentile(90), s.min(), s.max(), s.average(), s.mode()):
-        one = one.join(other, "doc_id")
+    x = aggregates.value()  # as the methods of these names give them one by one, in one aggregation
+    one = s.per_document(
+        median=F.median(x), variance=F.var_pop(x), standard_deviation=F.stddev_pop(x), percentile=F.percentile(x, 0.9), min=F.min(x), max=F.max(x), average=F.avg(x), mode=aggregates.most_frequent(aggregates.in_order(x)))
     return keyed(
         one, "orderkey", "median", F.round("variance", 4).alias("variance"), F.round("standard_deviation", 4).alias("deviation"), F.round("percentile", 4).alias("p90"), "mode",
         F.col("min").alias("low"), F.col("max").alias("high"), F.round("average", 4).alias("mean"))
@@ -349,17 +349,19 @@ def median_mode_variance(spark, d):
 @query("SELECT l_orderkey AS orderkey, string_agg(CAST(CAST(l_discount AS DECIMAL(15,2)) AS VARCHAR), ' ' ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS texts, CAST(count(*) AS INTEGER) AS n, max(l_returnflag) = min(l_returnflag) AS alike FROM lineitem GROUP BY 1")
 def texts_values(spark, d):
     s = sel(spark, d, "orders")
-    t, v, a = s.find("disc").texts(), s.find("disc").values(), s.find("item").distinct_attributes("flag")
-    return keyed(t.join(v, "doc_id").join(a.withColumnRenamed("values", "flags"), "doc_id"), "orderkey", F.array_join("texts", " ").alias("texts"), F.size("values").alias("n"), (F.size("flags") == 1).alias("alike"))
+    disc, item, ordered = named("disc"), named("item"), aggregates.in_order
+    got = s.depth_first().where_any(disc, item).per_document(
+        texts=ordered(F.when(disc & (F.col("text") != ""), F.col("text"))), values=ordered(F.when(disc, aggregates.value())), flags=F.array_distinct(ordered(F.when(item, attribute("flag")))))
+    return keyed(got, "orderkey", F.array_join("texts", " ").alias("texts"), F.size("values").alias("n"), (F.size("flags") == 1).alias("alike"))
 
 
 @query("SELECT l_orderkey AS orderkey, bool_and(l_quantity > 5) AS all_, bool_or(l_quantity > 45) AS any_, bool_or(l_returnflag = 'R') AS exists_ FROM lineitem GROUP BY 1")
 def all_any_exists(spark, d):
     s = sel(spark, d, "orders")
-    q = s.find("qty")
-    e = s.find("item").where_attribute("flag", "R").exists()
-    out = q.all(F.col("num") > 5).join(q.any(F.col("num") > 45), "doc_id").join(e, "doc_id")
-    return keyed(out, "orderkey", F.col("all").alias("all_"), F.col("any").alias("any_"), F.col("exists").alias("exists_"))
+    qty, returned = named("qty"), named("item") & (attribute("flag") == "R")
+    out = s.depth_first().where_any(qty, returned).per_document(
+        all_=F.bool_and(F.when(qty, F.col("num") > 5)), any_=F.bool_or(F.when(qty, F.col("num") > 45)), exists_=F.coalesce(F.bool_or(returned), F.lit(False)))
+    return keyed(out, "orderkey", F.coalesce("all_", F.lit(True)).alias("all_"), F.coalesce("any_", F.lit(False)).alias("any_"), F.coalesce("exists_", F.lit(False)).alias("exists_"))
 
 
 # Documents by conversation ------------------------------------------------------------------------------------------
