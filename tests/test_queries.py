@@ -39,3 +39,10 @@ def test_query_equals_sql(spark, db, name):
 def test_no_join_passes_through_the_driver(spark, name):
     """Tables that grow with the input are small here, so that Spark would broadcast them if it were left to."""
     assert "Broadcast" not in QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["to_map_reduce"])
+def test_reads_its_nodes_once_and_keeps_none(spark, name):
+    plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    assert "InMemoryTableScan" not in plan

@@ -35,12 +35,17 @@ def most_frequent(values: Column) -> Column:
 
 
 class Aggregates:
-    """Methods of a selection; documents with no selected node have a row too."""
+    """Methods of a selection; documents with no selected node have a row too, unless a method is told otherwise."""
 
-    def per_document(self, **columns: Column) -> DataFrame:
-        """doc_id and aggregates of each document; null or what coalesce gives where nothing is selected."""
-        docs = self.nodes.where(F.col("parent_pre").isNull()).select("doc_id")
+    def per_document(self, every: bool = True, **columns: Column) -> DataFrame:
+        """doc_id and aggregates of each document; null or what coalesce gives where nothing is selected.
+
+        every: whether documents with no selected node have a row. For them the nodes are read a second time.
+        """
         got = self.rows.groupBy("doc_id").agg(*[c.alias(k) for k, c in columns.items()])
+        if not every:
+            return growing(got)
+        docs = self.nodes.where(F.col("parent_pre").isNull()).select("doc_id")
         return growing(docs.join(got, "doc_id", "left"))
 
     def _filled(self, name: str, column: Column, missing) -> DataFrame:
@@ -86,14 +91,14 @@ class Aggregates:
         """AG10."""
         return self.per_document(values=in_order(value())).withColumn("values", F.coalesce("values", F.array().cast("array<double>")))
 
-    def attributes(self, name: str) -> DataFrame:
+    def attributes(self, name: str, every: bool = True) -> DataFrame:
         """AG11."""
         x = F.try_element_at("attrs", F.lit(name))
-        return self.per_document(values=in_order(x)).withColumn("values", F.coalesce("values", F.array().cast("array<string>")))
+        return self.per_document(every, values=in_order(x)).withColumn("values", F.coalesce("values", F.array().cast("array<string>")))
 
-    def distinct_attributes(self, name: str) -> DataFrame:
+    def distinct_attributes(self, name: str, every: bool = True) -> DataFrame:
         """AG12: in order of first sight."""
-        out = self.attributes(name)
+        out = self.attributes(name, every)
         return out.withColumn("values", F.array_distinct("values"))
 
     def sum(self) -> DataFrame:

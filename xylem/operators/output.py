@@ -37,6 +37,25 @@ def serialise(rows: DataFrame, keys: list[str], declaration: bool = False, self_
     return tags.groupBy(*keys).agg(F.concat(head, body).alias("xml"))
 
 
+def _let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a column that is worked out once, however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def folded(start: Column, merge: Callable[[Column, Column], Column], x: Column) -> Column:
+    """A left fold in selection order, as an aggregate."""
+    pairs = F.array_sort(F.collect_list(F.struct(F.col("at").alias("at"), x.alias("x"))))
+    return F.aggregate(pairs, start, lambda acc, p: merge(acc, p["x"]))
+
+
+def mapped(key: Column, val: Column) -> Column:
+    """A map, as an aggregate; the last value of a key stands. Empty where no key is."""
+    pairs = F.collect_list(F.when(key.isNotNull(), F.struct(key.alias("k"), F.col("at").alias("at"), val.alias("v"))))
+    placed = lambda ps: F.array_sort(F.transform(ps, lambda p, i: F.struct(p["k"].alias("k"), p["at"].alias("at"), i.alias("i"))))
+    lasts = lambda by: F.filter(by, lambda o, i: ~F.get(by, i + 1)["k"].eqNullSafe(o["k"]))
+    return _let(pairs, lambda ps: F.map_from_entries(F.transform(_let(placed(ps), lasts), lambda o: F.struct(o["k"].alias("key"), F.get(ps, o["i"])["v"].alias("value")))))
+
+
 class Output:
     """Methods of a selection."""
 
@@ -50,14 +69,11 @@ class Output:
 
     def reduce(self, start: Column, merge: Callable[[Column, Column], Column], x: Column, name: str = "value") -> DataFrame:
         """OU03: a left fold in selection order."""
-        pairs = F.array_sort(F.collect_list(F.struct(F.col("at").alias("at"), x.alias("x"))))
-        return self.per_document(**{name: F.aggregate(pairs, start, lambda acc, p: merge(acc, p["x"]))}).withColumn(name, F.coalesce(name, start))
+        return self.per_document(**{name: folded(start, merge, x)}).withColumn(name, F.coalesce(name, start))
 
     def to_map(self, key: Column, val: Column | None = None) -> DataFrame:
-        """OU04: a map for each document; the last value of a key stands."""
-        val = F.col("text") if val is None else val
-        last = self.rows.select("doc_id", key.alias("k"), val.alias("v"), "at").where(F.col("k").isNotNull()).groupBy("doc_id", "k").agg(F.max_by("v", "at").alias("v"))
-        return last.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("map"))
+        """OU04: a map for each document that has a key; the last value of a key stands."""
+        return self.per_document(False, map=mapped(key, F.col("text") if val is None else val)).where(F.size("map") > 0)
 
     def to_json(self, include_attributes: bool = True, include_metadata: bool = False, flatten_single: bool = True, simplify_leaves: bool = True) -> DataFrame:
         """OU05: doc_id and json; levels are folded into their parents from the deepest up, each written to the shared

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..operators import Selection, aggregates, mutate, select
+from ..operators import Selection, aggregates, mutate, output, select
 from ..operators.selection import attribute, named
 from ..sources import bind as B
 from ..sources import corpora, schema, soap
@@ -68,19 +68,23 @@ def supplier_documents(supplier: DataFrame) -> DataFrame:
     return inner.select(F.col("_k").cast("string").alias("doc_id"), corpora.element("suppliers", F.col("_inner"), nation=F.col("_k")).alias("xml"))
 
 
+def documents(spark: SparkSession, d: str, corpus: str) -> DataFrame:
+    return {
+        "customers": lambda: corpora.customer_documents(table(spark, d, "customer"), table(spark, d, "orders")),
+        "orders": lambda: corpora.order_documents(table(spark, d, "lineitem")),
+        "conversations": lambda: corpora.conversation_documents(table(spark, d, "conversations")),
+        "parts": lambda: corpora.part_documents(table(spark, d, "part")),
+        "namespaced": lambda: namespaced(table(spark, d, "customer")),
+        "repeated": lambda: namespaced(table(spark, d, "customer"), True),
+        "letters": lambda: letters(table(spark, d, "customer")),
+        "suppliers": lambda: supplier_documents(table(spark, d, "supplier")),
+    }[corpus]()
+
+
 def nodes(spark: SparkSession, d: str, corpus: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, d, corpus)
     if key not in _held:
-        made = {
-            "customers": lambda: corpora.customer_documents(table(spark, d, "customer"), table(spark, d, "orders")),
-            "orders": lambda: corpora.order_documents(table(spark, d, "lineitem")),
-            "conversations": lambda: corpora.conversation_documents(table(spark, d, "conversations")),
-            "parts": lambda: corpora.part_documents(table(spark, d, "part")),
-            "namespaced": lambda: namespaced(table(spark, d, "customer")),
-            "repeated": lambda: namespaced(table(spark, d, "customer"), True),
-            "letters": lambda: letters(table(spark, d, "customer")),
-            "suppliers": lambda: supplier_documents(table(spark, d, "supplier")),
-        }[corpus]()
+        made = documents(spark, d, corpus)
         for old in list(_held)[: max(0, len(_held) - HELD + 1)]:
             if old[0] == key[0]:
                 _held[old][1].unpersist()
@@ -95,6 +99,14 @@ def sel(spark: SparkSession, d: str, corpus: str) -> Selection:
     return select(nodes(spark, d, corpus))
 
 
+def passing(spark: SparkSession, d: str, corpus: str, *columns: str) -> Selection:
+    """A selection over nodes that are parsed as they are read and kept nowhere, with the frame and the named columns only.
+
+    For queries that read their nodes once or twice: to keep all columns of all nodes takes longer than to parse again.
+    """
+    return select(shred(documents(spark, d, corpus), columns=columns))
+
+
 def keyed(df: DataFrame, key: str, *cols) -> DataFrame:
     return df.select(F.col("doc_id").cast("bigint").alias(key), *cols)
 
@@ -324,10 +336,10 @@ def to_json(spark, d):
 
 @query(f"SELECT o_custkey AS custkey, count(DISTINCT o_orderstatus) AS n, max(CASE WHEN pos = n THEN o_orderkey END) AS last FROM {ORD} JOIN customer ON c_custkey = o_custkey GROUP BY 1")
 def to_map_reduce(spark, d):
-    s = sel(spark, d, "customers").find("order")
-    m = s.to_map(attribute("status"), attribute("id"))
-    r = s.reduce(F.lit(0).cast("bigint"), lambda acc, x: x, attribute("id").cast("bigint"), "last")
-    return keyed(m.join(r, "doc_id"), "custkey", F.size("map").cast("bigint").alias("n"), "last")
+    s = passing(spark, d, "customers", "attrs").find("order")
+    got = s.per_document(  # as to_map and reduce give them one by one, in one aggregation
+        every=False, map=output.mapped(attribute("status"), attribute("id")), last=output.folded(F.lit(0).cast("bigint"), lambda acc, x: x, attribute("id").cast("bigint")))
+    return keyed(got.where(F.size("map") > 0), "custkey", F.size("map").cast("bigint").alias("n"), "last")
 
 
 # Documents by order -------------------------------------------------------------------------------------------------

@@ -29,8 +29,8 @@ def leaf(name: str, value: Column, /, **attrs: Column) -> Column:
 
 
 def gathered(df: DataFrame, key: str, order: str | list[str], xml: Column) -> DataFrame:
-    """key and the XML of its rows in order."""
-    rows = df.select(F.col(key).alias("_k"), F.struct(F.struct(*([order] if isinstance(order, str) else order)).alias("o"), xml.alias("x")).alias("s"))
+    """key and the XML of its rows in order. Rows are shuffled, not their texts, and texts are made by as many tasks as a shuffle has."""
+    rows = spread(df, key).select(F.col(key).alias("_k"), F.struct(F.struct(*([order] if isinstance(order, str) else order)).alias("o"), xml.alias("x")).alias("s"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["x"]), "")
     return rows.groupBy("_k").agg(joined.alias("_inner"))
 
