@@ -155,7 +155,7 @@ def closest_named(spark, d):
 
 @query("SELECT o_custkey AS custkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) AS pos, o_orderkey AS id FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_totalprice > 150000", "parent_axis")
 def parent_axis(spark, d):
-    return order_ids(sel(spark, d, "customers").find("total").where_value_greater_than(150000).parent())
+    return order_ids(passing(spark, d, "customers", "attrs", "text").find("total").where_value_greater_than(150000).parent())
 
 
 @query(f"SELECT o_custkey AS custkey, pos, o_orderkey AS id FROM {ORD} JOIN customer ON c_custkey = o_custkey WHERE pos = 1 OR pos = n")
