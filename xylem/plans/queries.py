@@ -283,7 +283,7 @@ def group_by_name(spark, d):
 @query("""WITH f AS (SELECT o_custkey AS k, o_orderpriority AS v, min(o_orderkey) AS m FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2)
     SELECT k AS custkey, string_agg(v, '|' ORDER BY m) AS priorities FROM f GROUP BY 1""")
 def distinct_attrs(spark, d):
-    out = sel(spark, d, "customers").find("order").distinct_attributes("priority")
+    out = passing(spark, d, "customers", "attrs").find("order").distinct_attributes("priority", every=False)
     return keyed(out.where(F.size("values") > 0), "custkey", F.array_join("values", "|").alias("priorities"))
 
 
