@@ -190,13 +190,13 @@ def xp_arith(spark, d):
 
 @query("SELECT o_custkey AS custkey, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1 HAVING count(*) > 10")
 def xp_count(spark, d):
-    s = sel(spark, d, "customers").with_count("order", "n")
+    s = passing(spark, d, "customers").with_count("order", "n")
     return keyed(s.where(F.col("n") > 10).rows, "custkey", "n")
 
 
 @query(f"SELECT o_custkey AS custkey, CAST(sum(o_orderkey) AS DOUBLE) AS ids FROM {ORD} JOIN customer ON c_custkey = o_custkey GROUP BY 1 HAVING sum(o_orderkey) > 50000")
 def xp_sum(spark, d):
-    s = sel(spark, d, "customers").with_sum("order", "ids", attribute="id")
+    s = passing(spark, d, "customers", "attrs", "text").with_sum("order", "ids", attribute="id")
     return keyed(s.where(F.col("ids") > 50000).rows, "custkey", "ids")
 
 
