@@ -41,7 +41,7 @@ def test_no_join_passes_through_the_driver(spark, name):
     assert "Broadcast" not in QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["to_map_reduce", "parent_axis", "distinct_attrs", "xp_count", "xp_sum"])
+@pytest.mark.parametrize("name", ["to_map_reduce", "parent_axis", "distinct_attrs", "xp_count", "nth_and_range", "xp_sum"])
 def test_reads_its_nodes_once_and_keeps_none(spark, name):
     plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1
