@@ -30,9 +30,11 @@ def serialise(rows: DataFrame, keys: list[str], declaration: bool = False, self_
     empty = (F.col("n_children") == 0) & (V.text_or_empty(F.col("text")) == "") & F.lit(self_closing)
     open_ = F.concat(F.lit("<"), "name", _attr_text(), F.when(empty, F.lit("/>")).otherwise(F.concat(F.lit(">"), V.escape_text(F.col("text")))))
     close = F.when(empty, F.lit("")).otherwise(F.concat(F.lit("</"), "name", F.lit(">")))
-    tag = lambda a, b, c, x: F.struct(a.alias("a"), F.lit(b).alias("b"), c.cast("long").alias("c"), x.alias("x"))
-    tags = rows.select(*keys, F.explode(F.array(tag(F.col("pre"), 0, F.lit(0), open_), tag(F.col("end_pre"), 1, -F.col("pre"), close))).alias("t"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list("t")), lambda t: t["x"]), "")
+    tag = lambda a, b, c, x: F.struct(F.col(a).alias("a"), F.lit(b).alias("b"), c.cast("long").alias("c"), x.alias("x"))
+    first, last = tag("pre", 0, F.lit(0), F.col("_open")), tag("end_pre", 1, -F.col("pre"), F.col("_close"))
+    whole = tag("pre", 0, F.lit(0), F.concat("_open", "_close"))  # of a node without children
+    tags = rows.withColumns({"_open": open_, "_close": close}).select(*keys, F.explode(F.when(F.col("n_children") > 0, F.array(first, last)).otherwise(F.array(whole))).alias("t"))
+    body = F.array_join(F.sort_array(F.collect_list("t"))["x"], "")
     head = F.lit('<?xml version="1.0" encoding="UTF-8"?>\n' if declaration else "")
     return tags.groupBy(*keys).agg(F.concat(head, body).alias("xml"))
 
@@ -130,6 +132,8 @@ class Output:
 
     def to_xml_strings(self, declaration: bool = False, self_closing: bool = True) -> DataFrame:
         """MU08: the XML of each selected node's subtree."""
+        if self.rooted:
+            return serialise(self.nodes, ["doc_id"], declaration, self_closing).select("doc_id", F.array(F.lit(0).cast("long")).alias("at"), "xml")
         sub = self._below().rows
         sub = sub.withColumn("at", F.slice("at", F.lit(1), F.size("at") - 1))
         return serialise(sub, ["doc_id", "at"], declaration, self_closing)
